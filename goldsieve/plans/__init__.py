@@ -3,4 +3,4 @@
 
 def load_catalog() -> None:
     """Import the modules that register queries."""
-    from goldsieve.plans import catalog  # noqa: F401
+    from goldsieve.plans import catalog, catalog_search  # noqa: F401
