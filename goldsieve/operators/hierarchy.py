@@ -85,7 +85,7 @@ def _merge_band(group: pd.DataFrame) -> pd.DataFrame:
 
 def _top_kept(clusters: DataFrame) -> DataFrame:
     """For every cluster the highest kept cluster above it or itself, by pointer doubling."""
-    climb = clusters.select("cluster", F.col("parent").alias("up"), F.when("kept", F.col("cluster")).alias("top"))
+    climb = clusters.select("cluster", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("cluster")).alias("top"))
     while True:
         climb = cut_lineage(climb)
         if climb.filter(F.col("up").isNotNull()).isEmpty():
@@ -154,7 +154,7 @@ def select_clusters(
             )
     last = state.filter(F.col("cluster").isNotNull())
     if radius is None:
-        kept = F.lit(False) if tree.count() + 1 >= points.count() else F.lit(True)
+        kept = F.lit(False)
     else:
         kept = (F.col("lambdas") - F.col("size") * _lambda(radius)) >= F.col("below")
     roots = last.select("cluster", F.lit(None).cast("string").alias("parent"), kept.alias("kept"))
@@ -163,4 +163,5 @@ def select_clusters(
     final = joined.join(_top_kept(clusters), "cluster").filter(F.col("top").isNotNull())
     names = final.groupBy("top").agg(F.min("key").alias("label"))
     labeled = final.join(names, "top").select("key", "label")
-    return points.select("key").join(labeled, "key", "left")
+    alone = F.when(copied, F.col("key"))  # equal copies are a cluster even where nothing else is
+    return points.join(labeled, "key", "left").select("key", F.coalesce("label", alone).alias("label"))
