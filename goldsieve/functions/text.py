@@ -12,7 +12,7 @@ EMAIL_MARK = "[REDACTED_EMAIL]"
 PHONE_MARK = "[REDACTED_PHONE]"
 # -------------------------------------------------------------------------------------------------
 
-TOKEN_SEPARATOR = r"[^a-z0-9\xC0-\xFF]+"
+TOKEN = r"([a-z0-9\xC0-\xFF]+)"
 
 
 def redact_pii(text: Column) -> Column:
@@ -32,9 +32,11 @@ def token_estimate(text: Column) -> Column:
 
 
 def sorted_tokens(text: Column) -> Column:
-    """Lower-cased alphanumeric tokens in order, repeats kept."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SEPARATOR)
-    return F.array_sort(F.filter(parts, lambda t: t != ""))
+    """Lower-cased alphanumeric tokens in order, repeats kept.
+
+    Matching the tokens is several times faster than splitting at what lies between them.
+    """
+    return F.sort_array(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1)))
 
 
 def percent_text(ratio: Column) -> Column:

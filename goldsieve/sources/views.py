@@ -16,6 +16,8 @@ BASE_TABLES = [
     "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+SPREAD_BYTES = 1 << 20  # smaller files are not worth a shuffle
+
 VIEWS: dict[str, str] = {
     "raw_logs": """
 SELECT CAST(e.event_id AS STRING) AS id, e.ts AS log_ts,
@@ -185,14 +187,27 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One table. A file that splits into fewer tasks than there are cores is spread over them."""
+        path = f"{self.folder}/{name}.parquet"
+        frame = self.spark.read.parquet(path)
+        context = self.spark.sparkContext
+        location = context._jvm.org.apache.hadoop.fs.Path(path)
+        size = location.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(location).getLength()
+        cores = context.defaultParallelism
+        if size < SPREAD_BYTES or frame.rdd.getNumPartitions() >= cores:
+            return frame
+        return frame.repartition(cores)
 
     def sql(self, text: str) -> DataFrame:
-        parts = []
+        parts, tables = [], {}
         for name in _needed(text, BASE_TABLES + list(VIEWS)):
-            body = VIEWS.get(name, f"SELECT * FROM parquet.`{self.folder}/{name}.parquet`")
-            parts.append(f"{name} AS ({body.strip()})")
-        return self.spark.sql("WITH " + ",\n".join(parts) + "\n" + text)
+            if name in VIEWS:
+                body = VIEWS[name].strip().replace("{", "{{").replace("}", "}}")
+            else:
+                tables[name] = self.table(name)
+                body = f"SELECT * FROM {{{name}}}"
+            parts.append(f"{name} AS ({body})")
+        return self.spark.sql("WITH " + ",\n".join(parts) + "\n" + text, **tables)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
