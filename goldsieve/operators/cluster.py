@@ -13,14 +13,12 @@ from goldsieve.session import cut_lineage
 
 
 def _distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members with the key of their group, distinct vectors with their number of copies)."""
+    """(narrow members by fingerprint, distinct vectors with their number of copies)."""
     groups = vectors.groupBy("fingerprint").agg(
         F.min("item_id").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("terms").alias("terms"),
         F.first("weights").alias("weights"), F.first("norm2").alias("norm2"),
     )
-    groups = cut_lineage(groups)
-    members = vectors.select("item_id", "fingerprint").join(groups.select("fingerprint", "key", "copies"), "fingerprint")
-    return members, groups
+    return cut_lineage(vectors.select("item_id", "fingerprint")), cut_lineage(groups)
 
 
 def components(vectors: DataFrame, cosine: float, block_rows: int = 1024, local_limit: int = LOCAL_LIMIT) -> DataFrame:
@@ -31,11 +29,10 @@ def components(vectors: DataFrame, cosine: float, block_rows: int = 1024, local_
     members, groups = _distinct(vectors)
     edges = near_edges(groups, chord(cosine), block_rows)
     _, labels = spanning_forest(edges, local_limit)
-    joined = members.join(labels, "key", "left")
     alone = F.col("component").isNull() & (F.col("copies") == 1)
-    return joined.select(
-        "item_id", F.when(alone, F.lit(NOISE)).otherwise(F.coalesce("component", "key")).cast("bigint").alias("cluster_id")
-    )
+    name = F.when(alone, F.lit(NOISE)).otherwise(F.coalesce("component", "key")).cast("bigint")
+    named = groups.select("fingerprint", "key", "copies").join(labels, "key", "left")
+    return members.join(named.select("fingerprint", name.alias("cluster_id")), "fingerprint").drop("fingerprint")
 
 
 def density_clusters(
@@ -50,5 +47,7 @@ def density_clusters(
     members, groups = _distinct(vectors)
     tree, _ = spanning_forest(near_edges(groups, radius, block_rows))
     labels = select_clusters(groups.select("key", "copies"), tree, radius, band_rows)
-    joined = members.join(labels, "key", "left")
-    return joined.select("item_id", F.coalesce("label", F.lit(NOISE)).cast("bigint").alias("cluster_id"))
+    named = groups.select("fingerprint", "key").join(labels, "key", "left").select(
+        "fingerprint", F.coalesce("label", F.lit(NOISE)).cast("bigint").alias("cluster_id")
+    )
+    return members.join(named, "fingerprint").drop("fingerprint")
