@@ -58,14 +58,18 @@ def gap_quota(gaps: DataFrame, overdraw: int = OVERDRAW) -> DataFrame:
 def top_up(quotas: DataFrame, pool: DataFrame, seed: int = 42, salts: int = 64) -> DataFrame:
     """Up to the quota of logs per category, picked by a repeatable hash order.
 
-    The ranking runs twice: within salted slices of a category first, so that a category holding a
-    large share of the pool is spread over many tasks, then over the few survivors of each slice.
+    The ranking runs twice: within hashed slices of a category first, so that a category holding a large
+    share of the pool is spread over many tasks, then over the few survivors of each slice. The quota is
+    joined on category and slice, so the pool is never shuffled by category alone.
     """
-    wanted = quotas.groupBy("category").agg(F.sum("quota").alias("quota"))
+    wanted = quotas.groupBy("category").agg(F.sum("quota").alias("quota")).withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
     order = [F.col("_u"), F.col("id")]
+    sliced = pool.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     ranked = (
-        pool.join(wanted, "category")
-        .withColumns({"_u": unit_hash(F.col("id"), seed), "_slice": F.pmod(F.xxhash64("id"), F.lit(salts))})
+        sliced.join(wanted, ["category", "_slice"])
+        .withColumn("_u", unit_hash(F.col("id"), seed))
         .withColumn("_rank", F.row_number().over(Window.partitionBy("category", "_slice").orderBy(*order)))
         .filter(F.col("_rank") <= F.col("quota"))
         .withColumn("_rank", F.row_number().over(Window.partitionBy("category").orderBy(*order)))

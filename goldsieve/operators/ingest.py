@@ -48,8 +48,8 @@ def mark_sampled(scored: DataFrame, fraction: float = 0.5, seed: int = 42) -> Da
     per-row expression, so the wide rows are neither sorted nor shuffled for sampling.
     """
     totals = sampling_totals(scored.select("user_feedback", "latency_ms", "priority_score"), fraction)
-    draws = totals.select("draws").scalar()
-    share = F.col("priority_score") / totals.select("weight").scalar()
+    both = totals.select(F.struct("draws", "weight")).scalar()
+    draws, share = both["draws"], F.col("priority_score") / both["weight"]
     # 1 - (1 - share)^draws, written so that tiny shares keep their digits.
     chance = F.when(draws == 0, F.lit(0.0)).when(share >= 1, F.lit(1.0)).otherwise(
         -F.expm1(draws * F.log1p(-share))
