@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: redaction patterns and replacement marks -------------------------------------
-EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE_PATTERN = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
-EMAIL_MARK = "[REDACTED_EMAIL]"
-PHONE_MARK = "[REDACTED_PHONE]"
-# -------------------------------------------------------------------------------------------------
+from goldsieve.fixed import EMAIL_MARK, EMAIL_PATTERN, PHONE_MARK, PHONE_PATTERN
 
 TOKEN = r"([a-z0-9\xC0-\xFF]+)"
 

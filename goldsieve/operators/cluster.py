@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.operators.forest import LOCAL_LIMIT, spanning_forest
-from goldsieve.operators.hierarchy import select_clusters
+from goldsieve.operators.hierarchy import BAND_ROWS, select_clusters
 from goldsieve.operators.similarity import chord, near_edges
-from goldsieve.schemas import NOISE
+from goldsieve.fixed import NOISE
 from goldsieve.session import cut_lineage
 
 
@@ -36,7 +36,7 @@ def components(vectors: DataFrame, cosine: float, block_rows: int = 1024, local_
 
 
 def density_clusters(
-    vectors: DataFrame, radius: float | None = None, block_rows: int = 1024, band_rows: int = LOCAL_LIMIT,
+    vectors: DataFrame, radius: float | None = None, block_rows: int = 1024, band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """``item_id, cluster_id`` by the density hierarchy with clusters of two or more; -1 is noise.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.functions.text import percent_text
-from goldsieve.schemas import APPROVAL_AGREEMENT
+from goldsieve.fixed import APPROVAL_AGREEMENT, DEFAULT_BEHAVIOR, DEFAULT_CATEGORY, REVIEW_REASON
 
 
 def fan_out_votes(evals: DataFrame, runs: int) -> DataFrame:
@@ -50,8 +50,8 @@ def majority(votes: DataFrame, evals: DataFrame | None = None) -> DataFrame:
         "eval_id",
         F.coalesce("num_runs", F.lit(0)).alias("num_runs"),
         F.coalesce(F.col("top").cast("double") / F.col("num_runs"), F.lit(0.0)).alias("agreement_ratio"),
-        F.coalesce("majority_category", F.lit("Unknown")).alias("majority_category"),
-        F.when(no_category | F.col("majority_behavior").isNull(), F.lit("should_answer"))
+        F.coalesce("majority_category", F.lit(DEFAULT_CATEGORY)).alias("majority_category"),
+        F.when(no_category | F.col("majority_behavior").isNull(), F.lit(DEFAULT_BEHAVIOR))
         .otherwise(F.col("majority_behavior"))
         .alias("majority_behavior"),
     )
@@ -65,10 +65,7 @@ def with_status(scores: DataFrame, threshold: float = APPROVAL_AGREEMENT) -> Dat
 
 def review_queue(scores: DataFrame) -> DataFrame:
     """One queue row with its reason per eval that needs review."""
-    reason = F.concat(
-        F.lit("Low confidence ("), percent_text(F.col("agreement_ratio")), F.lit(" agreement across "),
-        F.col("num_runs").cast("string"), F.lit(" runs)"),
-    )
+    reason = F.format_string(REVIEW_REASON, percent_text(F.col("agreement_ratio")), F.col("num_runs").cast("string"))
     return scores.filter(F.col("status") == "needs_review").select(
         "eval_id", reason.alias("reason"), F.lit(0).alias("reviewed")
     )

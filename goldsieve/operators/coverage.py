@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from goldsieve.functions.text import unit_hash
-from goldsieve.schemas import COVERAGE_CATEGORIES, MIN_PER_CELL, OVERDRAW, THIN_CELL
+from goldsieve.fixed import COVERAGE_CATEGORIES, MIN_PER_CELL, OVERDRAW, THIN_CELL
 
 
 def accepted_or_unchecked(frame: DataFrame, dedup_log: DataFrame) -> DataFrame:

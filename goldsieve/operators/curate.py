@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from goldsieve.functions.loose_json import string_items
 from goldsieve.functions.text import or_word
 from goldsieve.operators.pending import with_interaction
-from goldsieve.schemas import DIFFICULTIES, NOISE
+from goldsieve.fixed import DIFFICULTIES, NOISE
 
 
 def explorer(

@@ -9,7 +9,7 @@ from goldsieve.functions.loose_json import string_items
 from goldsieve.operators.coverage import accepted_or_unchecked
 from goldsieve.operators.judge import reference_text
 from goldsieve.operators.pending import with_interaction
-from goldsieve.schemas import PASS_SCORE
+from goldsieve.fixed import PASS_SCORE
 
 
 def one_per_eval(frame: DataFrame, *columns: str) -> DataFrame:

@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.operators.forest import LOCAL_LIMIT, spanning_forest
+from goldsieve.operators.forest import spanning_forest
 from goldsieve.session import cut_lineage
 
+BAND_ROWS = 2_000_000  # edges of one band: the most a task can get to hold
+
 _STATE = "node bigint, size bigint, lambdas double, below double, cluster string"
 _OUT = f"kind string, {_STATE}, parent string, kept boolean"
 _NAMES = [c.strip().split(" ")[0] for c in _OUT.split(", ")]
@@ -97,7 +99,7 @@ def _top_kept(clusters: DataFrame) -> DataFrame:
 
 
 def select_clusters(
-    points: DataFrame, tree: DataFrame, radius: float | None = None, band_rows: int = LOCAL_LIMIT,
+    points: DataFrame, tree: DataFrame, radius: float | None = None, band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """``key, label`` for weighted points (``key, copies``) along a spanning tree (``a, b, weight``).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.functions.text import redact_pii, token_estimate, unit_hash
-from goldsieve.schemas import NEGATIVE_FEEDBACK, SLOW_MS
+from goldsieve.fixed import NEGATIVE_FEEDBACK, SLOW_MS
 
 
 def new_logs(raw: DataFrame, known_ids: DataFrame) -> DataFrame:

@@ -12,7 +12,13 @@ from pyspark.sql import types as T
 from goldsieve.functions.loose_json import (
     first_truthy, kind, parse_object, pick_bool, pick_int, pick_text, string_items, truthy,
 )
-from goldsieve.schemas import PASS_SCORE
+from goldsieve.fixed import (
+    BAD_ANSWER, CATEGORY_KEYS, DEFAULT_BEHAVIOR, DEFAULT_CATEGORY, DEFAULT_DIFFICULTY, DEFAULT_QUALITY,
+    DEFAULT_QUESTION_TYPE, DIFFICULTY_KEYS, FAILED_CATEGORY, FAILED_DIFFICULTY, FAILED_REASONING, FAILED_SOURCE,
+    GOLDEN_KEYS, GOLDEN_MESSAGE, LABEL_MESSAGE, NO_ANSWER, NO_REASONING, NO_REFERENCE, PASS_SCORE, QUALITY_KEYS,
+    QUESTION_TYPE_KEYS, REASONING_KEYS, RUBRIC_KEYS, RUBRIC_LEVELS, SCORE_MESSAGE, SOURCE_PREFIX, THOUGHT_KEYS,
+    VOTE_BEHAVIOR_KEYS, VOTE_CATEGORY_KEYS,
+)
 
 # Takes the texts of one Arrow batch, returns one answer (or None) for each.
 Answerer = Callable[[list[str]], list[str | None]]
@@ -25,19 +31,28 @@ def infer(
     """Add column ``answer`` by running an injected model over column ``text``, batch by batch.
 
     ``make`` is called once per task, so a model loads once and serves every batch of the task.
-    ``partitions`` bounds how many tasks call out at a time. A raised error costs only its own batch:
-    it gives NULL answers, or ``[<error_prefix>: ...]`` texts when a prefix is given.
+    ``partitions`` bounds how many tasks call out at a time. When a batch raises, its texts are asked one
+    by one, and only those that raise again get NULL, or ``[<error_prefix>: ...]`` when a prefix is given.
     """
     schema = T.StructType(frame.schema.fields + [T.StructField(answer, T.StringType())])
 
+    def one_by_one(ask: Answerer, texts: list[str]) -> list[str | None]:
+        answers = []
+        for item in texts:
+            try:
+                answers += ask([item])
+            except Exception as error:  # the model is foreign code; its failure is data here
+                answers.append(f"[{error_prefix}: {error}]" if error_prefix else None)
+        return answers
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()
         for batch in batches:
             texts = batch[text].tolist()
             try:
                 answers = ask(texts)
-            except Exception as error:  # the model is foreign code; its failure is data here
-                answers = [f"[{error_prefix}: {error}]" if error_prefix else None] * len(texts)
+            except Exception:
+                answers = one_by_one(ask, texts)
             yield batch.assign(**{answer: pd.Series(answers, index=batch.index, dtype="object")})
 
     spread = frame if partitions is None else frame.repartition(partitions)
@@ -58,11 +73,11 @@ def _word(text: Column) -> Column:
 
 
 def label_message(prompt: Column, response: Column) -> Column:
-    return F.concat(F.lit("User: "), _word(prompt), F.lit("\nAI: "), _word(response))
+    return F.format_string(LABEL_MESSAGE, _word(prompt), _word(response))
 
 
 def golden_message(prompt: Column, response: Column) -> Column:
-    return F.concat(F.lit("User prompt: "), _word(prompt), F.lit("\nAI response: "), _word(response))
+    return F.format_string(GOLDEN_MESSAGE, _word(prompt), _word(response))
 
 
 def _listing(items: Column) -> Column:
@@ -74,7 +89,7 @@ def _listing(items: Column) -> Column:
 def reference_text(golden: Column, rubric: Column) -> Column:
     """The golden answer, else the top rubric level, else a fixed wording; '' counts as missing."""
     return F.coalesce(
-        F.nullif(golden, F.lit("")), F.nullif(rubric, F.lit("")), F.lit("No reference provided.")
+        F.nullif(golden, F.lit("")), F.nullif(rubric, F.lit("")), F.lit(NO_REFERENCE)
     )
 
 
@@ -82,19 +97,13 @@ def score_message(
     prompt: Column, reference: Column, response: Column, must: Column, must_not: Column, behavior: Column
 ) -> Column:
     """What a scoring judge reads about one response."""
-    return F.concat(
-        F.lit("User Prompt: "), _word(prompt),
-        F.lit("\n\nGolden Reference / Rubric (score 5): "), _word(reference),
-        F.lit("\n\nModel Response to Score: "), _word(response),
-        F.lit("\n\nMust Contain: "), _listing(string_items(must)),
-        F.lit("\nMust NOT Contain: "), _listing(string_items(must_not)),
-        F.lit("\nExpected Behavior: "), _word(behavior), F.lit("\n"),
-    )
+    lists = _listing(string_items(must)), _listing(string_items(must_not))
+    return F.format_string(SCORE_MESSAGE, _word(prompt), _word(reference), _word(response), *lists, _word(behavior))
 
 
 def model_source(model: Column) -> Column:
-    """'vendor/name:tag' is recorded as 'openrouter:name'."""
-    return F.concat(F.lit("openrouter:"), F.split(F.split(model, "/")[1], ":")[0])
+    """The name in 'vendor/name:tag', marked with how it was reached."""
+    return F.concat(F.lit(SOURCE_PREFIX), F.split(F.split(model, "/")[1], ":")[0])
 
 
 def _with_document(frame: DataFrame, raw: str) -> DataFrame:
@@ -106,38 +115,38 @@ def normalize_label(frame: DataFrame, raw: str = "raw") -> DataFrame:
     doc = F.col("_doc")
     return _with_document(frame, raw).filter(doc.isNotNull()).select(
         *[c for c in frame.columns if c != raw],
-        pick_text(doc, ["category", "Category", "interaction_type"], "Unknown").alias("category"),
-        pick_int(doc, ["quality_score", "quality", "score"], 3).alias("quality_score"),
-        pick_text(doc, ["difficulty", "Difficulty", "complexity"], "simple").alias("difficulty"),
-        pick_text(doc, ["reasoning", "Reasoning", "explanation"], "No reasoning provided").alias("reasoning"),
+        pick_text(doc, CATEGORY_KEYS, DEFAULT_CATEGORY).alias("category"),
+        pick_int(doc, QUALITY_KEYS, DEFAULT_QUALITY).alias("quality_score"),
+        pick_text(doc, DIFFICULTY_KEYS, DEFAULT_DIFFICULTY).alias("difficulty"),
+        pick_text(doc, REASONING_KEYS, NO_REASONING).alias("reasoning"),
     )
 
 
 def label_with_fallback(frame: DataFrame, raw: str = "raw", source: Column | None = None) -> DataFrame:
     """Like ``normalize_label`` but a failed row stays, marked as failed, and the positive flag is set."""
     doc, failed = F.col("_doc"), F.col("_doc").isNull()
-    why = F.when(F.col(raw).isNull(), "openrouter_exhausted").otherwise("parse_error")
+    why = F.when(F.col(raw).isNull(), NO_ANSWER).otherwise(BAD_ANSWER)
 
     def unless_failed(value: Column, fallback: Column) -> Column:
         return F.when(failed, fallback).otherwise(value)
 
-    quality = unless_failed(pick_int(doc, ["quality_score", "quality", "score"], 3), F.lit(3))
+    quality = unless_failed(pick_int(doc, QUALITY_KEYS, DEFAULT_QUALITY), F.lit(DEFAULT_QUALITY))
     return (
         _with_document(frame, raw)
         .withColumns(
             {
                 "category": unless_failed(
-                    pick_text(doc, ["category", "Category", "interaction_type"], "Unknown"), F.lit("Labeling Failed")
+                    pick_text(doc, CATEGORY_KEYS, DEFAULT_CATEGORY), F.lit(FAILED_CATEGORY)
                 ),
                 "quality_score": quality,
                 "difficulty": unless_failed(
-                    pick_text(doc, ["difficulty", "Difficulty", "complexity"], "simple"), F.lit("unknown")
+                    pick_text(doc, DIFFICULTY_KEYS, DEFAULT_DIFFICULTY), F.lit(FAILED_DIFFICULTY)
                 ),
                 "reasoning": unless_failed(
-                    pick_text(doc, ["reasoning", "Reasoning", "explanation"], "No reasoning provided"),
-                    F.concat(F.lit("OpenRouter failed ("), why, F.lit(")")),
+                    pick_text(doc, REASONING_KEYS, NO_REASONING),
+                    F.format_string(FAILED_REASONING, why),
                 ),
-                "labeled_by": unless_failed(F.lit("judge") if source is None else source, F.lit("fallback")),
+                "labeled_by": unless_failed(F.lit("judge") if source is None else source, F.lit(FAILED_SOURCE)),
             }
         )
         .withColumn("is_positive_case", F.when(F.col("quality_score") >= PASS_SCORE, 1).otherwise(0))
@@ -147,7 +156,7 @@ def label_with_fallback(frame: DataFrame, raw: str = "raw", source: Column | Non
 
 def _rubric(doc: Column) -> tuple[Column, Column]:
     """The rubric as an object, and the text to use for the top level when it is plain text."""
-    found = first_truthy(doc, ["rubric", "scoring_rubric"])
+    found = first_truthy(doc, RUBRIC_KEYS)
     shape, text = kind(found), found.cast("string")
     inner = F.try_parse_json(text)
     as_object = F.when(shape.startswith("OBJECT"), found).when(
@@ -161,18 +170,16 @@ def normalize_rubric(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """The three rubric levels, from an object, from JSON inside text, or from plain text (top level only)."""
     as_object, plain = _rubric(F.col("_doc"))
     rubric = F.col("_rubric")
+    top, *_ = RUBRIC_LEVELS
+    levels = [
+        F.coalesce(pick_text(rubric, keys), F.col("_plain") if level == top else F.lit(None), F.lit("")).alias(level)
+        for level, keys in RUBRIC_LEVELS.items()
+    ]
     return (
         _with_document(frame, raw)
         .filter(truthy(F.col("_doc")))
         .withColumns({"_rubric": as_object, "_plain": plain})
-        .select(
-            *[c for c in frame.columns if c != raw],
-            F.coalesce(pick_text(rubric, ["score_5", "5", "excellent"]), F.col("_plain"), F.lit("")).alias(
-                "rubric_score_5"
-            ),
-            pick_text(rubric, ["score_3", "3", "acceptable"], "").alias("rubric_score_3"),
-            pick_text(rubric, ["score_1", "1", "poor"], "").alias("rubric_score_1"),
-        )
+        .select(*[c for c in frame.columns if c != raw], *levels)
     )
 
 
@@ -181,9 +188,9 @@ def normalize_golden(frame: DataFrame, raw: str = "raw") -> DataFrame:
     doc = F.col("_doc")
     return _with_document(frame, raw).filter(truthy(doc)).select(
         *[c for c in frame.columns if c != raw],
-        pick_text(doc, ["question_type", "type", "question_type_label"], "unknown").alias("question_type"),
-        pick_text(doc, ["chain_of_thought", "reasoning"], "").alias("chain_of_thought"),
-        pick_text(doc, ["golden_answer", "reference_answer", "answer"]).alias("golden_answer"),
+        pick_text(doc, QUESTION_TYPE_KEYS, DEFAULT_QUESTION_TYPE).alias("question_type"),
+        pick_text(doc, THOUGHT_KEYS, "").alias("chain_of_thought"),
+        pick_text(doc, GOLDEN_KEYS).alias("golden_answer"),
     )
 
 
@@ -203,8 +210,8 @@ def normalize_multilabel(frame: DataFrame, raw: str = "raw") -> DataFrame:
 
     return _with_document(frame, raw).filter(doc.isNotNull()).select(
         *[c for c in frame.columns if c != raw],
-        pick_int(doc, ["expected_quality"], 3).alias("expected_quality"),
-        pick_text(doc, ["expected_behavior"], "should_answer").alias("expected_behavior"),
+        pick_int(doc, ["expected_quality"], DEFAULT_QUALITY).alias("expected_quality"),
+        pick_text(doc, ["expected_behavior"], DEFAULT_BEHAVIOR).alias("expected_behavior"),
         listing("must_contain").alias("must_contain"),
         listing("must_not_contain").alias("must_not_contain"),
     )
@@ -217,9 +224,9 @@ def normalize_vote(frame: DataFrame, raw: str = "raw") -> DataFrame:
         _with_document(frame, raw)
         .withColumns(
             {
-                "category": F.when(doc.isNotNull(), pick_text(doc, ["category", "Category"], "Unknown")),
+                "category": F.when(doc.isNotNull(), pick_text(doc, VOTE_CATEGORY_KEYS, DEFAULT_CATEGORY)),
                 "behavior": F.when(
-                    doc.isNotNull(), pick_text(doc, ["expected_behavior", "behavior"], "should_answer")
+                    doc.isNotNull(), pick_text(doc, VOTE_BEHAVIOR_KEYS, DEFAULT_BEHAVIOR)
                 ),
             }
         )
@@ -238,7 +245,7 @@ def normalize_score(frame: DataFrame, raw: str = "raw", failure: str = "No score
         _with_document(frame, raw)
         .withColumns(
             {
-                "score": F.when(failed, 3).otherwise(pick_int(doc, ["score"], 3)),
+                "score": F.when(failed, DEFAULT_QUALITY).otherwise(pick_int(doc, ["score"], DEFAULT_QUALITY)),
                 "judge_passed": flag("passed", False),
                 "must_contain_pass": flag("must_contain_pass", False),
                 "must_not_contain_pass": flag("must_not_contain_pass", True),

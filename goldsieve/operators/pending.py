@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.schemas import NEGATIVE_FEEDBACK, NOISE
+from goldsieve.fixed import NEGATIVE_FEEDBACK, NOISE
 
 
 def to_cluster(normalized: DataFrame) -> DataFrame:

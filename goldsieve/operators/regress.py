@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.schemas import RATE_SHIFT, SCORE_SHIFT
+from goldsieve.fixed import RATE_SHIFT, REASON_CHARS, SCORE_SHIFT
 
 
 def latest_two(runs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def transitions(compared: DataFrame, score_shift: int = SCORE_SHIFT) -> DataFram
 def regressions(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("transition") == "regression").select(
         "eval_case_id", "category", "difficulty", "old_score", "new_score",
-        F.substring("reasoning", 1, 80).alias("reason"),
+        F.substring("reasoning", 1, REASON_CHARS).alias("reason"),
     )
 
 

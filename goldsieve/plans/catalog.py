@@ -23,6 +23,10 @@ picked AS (SELECT new.*, CAST(CASE WHEN ('0x' || substr(md5('42:' || id), 1, 13)
 _JSON = "(CASE WHEN json_valid(raw) THEN CASE WHEN json_type(raw::JSON) = 'OBJECT' THEN raw::JSON END END)"
 
 
+_IS_APPROVED = "eval_id IN (SELECT eval_id FROM confidence_scores WHERE status = 'approved')"
+_NOT_REJECTED = "eval_id NOT IN (SELECT candidate_eval_id FROM dedup_log WHERE action <> 'accepted')"
+
+
 def _truthy(value: str) -> str:
     return f"""(CASE json_type({value}) WHEN 'NULL' THEN false WHEN 'VARCHAR' THEN ({value} ->> '$') <> ''
         WHEN 'BOOLEAN' THEN ({value} ->> '$') = 'true' WHEN 'ARRAY' THEN json_array_length({value}) > 0
@@ -100,21 +104,20 @@ def pending_cluster(t):
 
 @query(
     "label_candidates",
-    """SELECT i.id, i.user_prompt, i.model_response FROM normalized_logs i
-       LEFT JOIN eval_dataset e ON i.id = e.interaction_id
-       WHERE e.eval_id IS NULL AND (i.cluster_id = -1 OR i.user_feedback IN ('thumbs_down', 'retry'))""",
+    """SELECT id, user_prompt, model_response FROM normalized_logs
+       WHERE id NOT IN (SELECT interaction_id FROM eval_dataset)
+         AND (coalesce(cluster_id, 0) = -1 OR coalesce(user_feedback, '') IN ('thumbs_down', 'retry'))""",
 )
 def label_candidates(t):
     return pending.to_label(t.normalized_logs, t.eval_dataset)
 
 
 def _lacking(table: str, extra: str = "") -> str:
-    return f"""SELECT e.eval_id, i.user_prompt, i.model_response{extra} FROM eval_dataset e
-       JOIN interactions i ON e.interaction_id = i.id LEFT JOIN {table} x ON e.eval_id = x.eval_id
-       WHERE x.eval_id IS NULL"""
+    return f"""SELECT eval_id, user_prompt, model_response{extra} FROM eval_dataset JOIN interactions ON id = interaction_id
+       WHERE eval_id NOT IN (SELECT eval_id FROM {table})"""
 
 
-@query("pending_golden", _lacking("golden_answers", ", e.category"))
+@query("pending_golden", _lacking("golden_answers", ", category"))
 def pending_golden(t):
     return pending.lacking(t.eval_dataset, t.golden_answers, t.interactions, "category")
 
@@ -131,8 +134,7 @@ def pending_confidence(t):
 
 @query(
     "approved_evals",
-    """SELECT e.eval_id, i.user_prompt FROM eval_dataset e JOIN interactions i ON e.interaction_id = i.id
-       JOIN confidence_scores cs ON e.eval_id = cs.eval_id WHERE cs.status = 'approved'""",
+    f"SELECT eval_id, user_prompt FROM eval_dataset JOIN interactions ON id = interaction_id WHERE {_IS_APPROVED}",
 )
 def approved_evals(t):
     return pending.approved(t.eval_dataset, t.confidence_scores, t.interactions)
@@ -140,9 +142,8 @@ def approved_evals(t):
 
 @query(
     "dedup_candidates",
-    """SELECT e.eval_id, i.user_prompt FROM eval_dataset e JOIN interactions i ON e.interaction_id = i.id
-       JOIN confidence_scores cs ON e.eval_id = cs.eval_id LEFT JOIN dedup_log d ON e.eval_id = d.candidate_eval_id
-       WHERE cs.status = 'approved' AND d.candidate_eval_id IS NULL""",
+    f"""SELECT eval_id, user_prompt FROM eval_dataset JOIN interactions ON id = interaction_id
+        WHERE {_IS_APPROVED} AND eval_id NOT IN (SELECT candidate_eval_id FROM dedup_log)""",
 )
 def dedup_candidates(t):
     return pending.approved_unchecked(t.eval_dataset, t.confidence_scores, t.interactions, t.dedup_log)
@@ -373,8 +374,8 @@ def add_missing_column(t):
     "assign_eval_ids",
     """SELECT i.id AS interaction_id,
        CAST(('0x' || substr(md5(i.id), 1, 16))::UBIGINT % 9223372036854775807 AS BIGINT) AS eval_id
-       FROM normalized_logs i LEFT JOIN eval_dataset e ON i.id = e.interaction_id
-       WHERE e.eval_id IS NULL AND (i.cluster_id = -1 OR i.user_feedback IN ('thumbs_down', 'retry'))""",
+       FROM normalized_logs i WHERE i.id NOT IN (SELECT interaction_id FROM eval_dataset)
+         AND (coalesce(cluster_id, 0) = -1 OR coalesce(user_feedback, '') IN ('thumbs_down', 'retry'))""",
 )
 def assign_eval_ids(t):
     todo = pending.to_label(t.normalized_logs, t.eval_dataset).select(F.col("id").alias("interaction_id"))
@@ -393,10 +394,8 @@ def apply_review_decisions(t):
 
 
 # --- coverage -----------------------------------------------------------------------------------------
-_REPORT = """rep AS (SELECT e.category, e.difficulty, count(*) AS count, avg(cs.agreement_ratio) AS avg_confidence
-  FROM eval_dataset e JOIN confidence_scores cs ON e.eval_id = cs.eval_id
-  LEFT JOIN dedup_log d ON e.eval_id = d.candidate_eval_id
-  WHERE cs.status = 'approved' AND (d.action = 'accepted' OR d.candidate_eval_id IS NULL) GROUP BY 1, 2)"""
+_REPORT = f"""rep AS (SELECT category, difficulty, count(*) AS count, avg(agreement_ratio) AS avg_confidence
+  FROM eval_dataset JOIN confidence_scores USING (eval_id) WHERE status = 'approved' AND {_NOT_REJECTED} GROUP BY ALL)"""
 _GAPS = f"""{_REPORT}, gaps AS (SELECT category, difficulty, count, 5 - count AS needed FROM rep WHERE count < 5
   UNION ALL SELECT c, 'simple', 0, 5 FROM (VALUES ('Normal'), ('Jailbreak'), ('Angry User'), ('Refusal'), ('Policy Question'), ('Hallucination')) AS v(c)
   WHERE c NOT IN (SELECT category FROM rep))"""
@@ -449,12 +448,9 @@ def coverage_top_up(t):
 
 
 # --- evaluation ---------------------------------------------------------------------------------------
-_CASES = """cases AS (SELECT e.eval_id, e.category, e.difficulty, i.user_prompt, g.golden_answer, g.rubric_score_5,
-  m.must_contain, m.must_not_contain, m.expected_behavior
-  FROM eval_dataset e JOIN interactions i ON e.interaction_id = i.id JOIN confidence_scores cs ON e.eval_id = cs.eval_id
-  LEFT JOIN golden_answers g ON e.eval_id = g.eval_id LEFT JOIN multi_labels m ON e.eval_id = m.eval_id
-  LEFT JOIN dedup_log d ON e.eval_id = d.candidate_eval_id
-  WHERE cs.status = 'approved' AND (d.action = 'accepted' OR d.candidate_eval_id IS NULL))"""
+_CASES = f"""cases AS (SELECT eval_id, category, difficulty, user_prompt, golden_answer, rubric_score_5, must_contain,
+  must_not_contain, expected_behavior FROM eval_dataset JOIN interactions ON id = interaction_id
+  LEFT JOIN golden_answers USING (eval_id) LEFT JOIN multi_labels USING (eval_id) WHERE {_IS_APPROVED} AND {_NOT_REJECTED})"""
 _CHECKS = """checks AS (SELECT e.eval_id,
   len(list_filter(coalesce(from_json(m.must_contain, '["VARCHAR"]'), []), lambda x: NOT contains(lower(coalesce(i.model_response, '')), lower(x)))) = 0 AS must_contain_pass,
   len(list_filter(coalesce(from_json(m.must_not_contain, '["VARCHAR"]'), []), lambda x: contains(lower(coalesce(i.model_response, '')), lower(x)))) = 0 AS must_not_contain_pass
@@ -619,10 +615,10 @@ def regression_summary(t):
 
 
 # --- review views ---------------------------------------------------------------------------------------
-_EXPLORER = """explorer AS (SELECT e.eval_id, e.category, e.difficulty, e.quality_score, cs.status, cs.agreement_ratio,
-  g.golden_answer, g.rubric_score_5, m.expected_behavior, m.must_contain, m.must_not_contain, i.user_prompt, i.model_response
-  FROM eval_dataset e JOIN interactions i ON e.interaction_id = i.id LEFT JOIN confidence_scores cs ON e.eval_id = cs.eval_id
-  LEFT JOIN golden_answers g ON e.eval_id = g.eval_id LEFT JOIN multi_labels m ON e.eval_id = m.eval_id)"""
+_EXPLORER = """explorer AS (SELECT eval_id, category, difficulty, quality_score, status, agreement_ratio, golden_answer, rubric_score_5,
+  expected_behavior, must_contain, must_not_contain, user_prompt, model_response
+  FROM eval_dataset JOIN interactions ON id = interaction_id LEFT JOIN confidence_scores USING (eval_id)
+  LEFT JOIN golden_answers USING (eval_id) LEFT JOIN multi_labels USING (eval_id))"""
 
 
 def _explorer(t):
@@ -656,9 +652,9 @@ def filter_options(t):
 
 @query(
     "review_queue_view",
-    """SELECT hr.eval_id, hr.reason, hr.reviewed, i.user_prompt, i.model_response, cs.majority_category, cs.majority_behavior, cs.agreement_ratio
-       FROM human_review_queue hr JOIN eval_dataset e ON hr.eval_id = e.eval_id JOIN interactions i ON e.interaction_id = i.id
-       JOIN confidence_scores cs ON e.eval_id = cs.eval_id WHERE hr.reviewed = 0""",
+    """SELECT eval_id, reason, reviewed, user_prompt, model_response, majority_category, majority_behavior, agreement_ratio
+       FROM human_review_queue JOIN confidence_scores USING (eval_id) JOIN eval_dataset USING (eval_id)
+       JOIN interactions ON id = interaction_id WHERE reviewed = 0""",
 )
 def review_queue_view(t):
     return curate.review_queue_view(t.human_review_queue, t.eval_dataset, t.interactions, t.confidence_scores)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from goldsieve.functions.vectors import encode, with_dense_vector, with_token_vector
 from goldsieve.operators import cluster, confidence, coverage, dedup, ingest, judge, pending
 from goldsieve.operators.upkeep import assign_eval_ids, stable_id
-from goldsieve.schemas import VOTE_RUNS
+from goldsieve.fixed import VOTE_RUNS
 from goldsieve.session import cut_lineage
 from goldsieve.sources.tables import Tables
 

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldsieve.fixed import MODEL_ERROR
 from goldsieve.operators import evaluate, judge, regress
 from goldsieve.plans.curation import Maker
 from goldsieve.session import cut_lineage
@@ -37,7 +38,7 @@ def run_evaluation(
     start = cut_lineage(start)
     tables.append("eval_runs", start)
 
-    answered = cut_lineage(judge.infer(cases, "user_prompt", "model_response", model, partitions, "MODEL ERROR"))
+    answered = cut_lineage(judge.infer(cases, "user_prompt", "model_response", model, partitions, MODEL_ERROR))
     message = judge.score_message(
         F.col("user_prompt"), judge.reference_text(F.col("golden_answer"), F.col("rubric_score_5")),
         F.col("model_response"), F.col("must_contain"), F.col("must_not_contain"), F.col("expected_behavior"),

@@ -1,29 +1,9 @@
-"""Table schemas and the fixed vocabularies of the curation data model."""
+"""Schemas of the stage tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# --- fixed values: names and thresholds every stage must agree on -----------------------------
-NEGATIVE_FEEDBACK = ["thumbs_down", "retry"]
-LABEL_CATEGORIES = [
-    "Jailbreak", "Prompt Injection", "Refusal", "Hallucination", "Angry User", "Policy Question", "Normal",
-]
-COVERAGE_CATEGORIES = ["Normal", "Jailbreak", "Angry User", "Refusal", "Policy Question", "Hallucination"]
-DIFFICULTIES = ["simple", "moderate", "hard", "adversarial"]
-NOISE = -1
-SLOW_MS = 1500
-DUPLICATE_COSINE = 0.92
-APPROVAL_AGREEMENT = 0.65
-VOTE_RUNS = 3
-PASS_SCORE = 4
-THIN_CELL = 3
-MIN_PER_CELL = 5
-OVERDRAW = 2
-SCORE_SHIFT = 1
-RATE_SHIFT = 0.1
-# ------------------------------------------------------------------------------------------------
-
 TABLES: dict[str, str] = {
     "raw_logs": (
         "id string, log_ts timestamp, user_prompt string, system_prompt string, model_used string, "
