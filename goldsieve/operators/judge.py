@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from goldsieve.functions.loose_json import (
-    first_truthy, kind, parse_object, pick_bool, pick_int, pick_text, string_items, truthy,
-)
 from goldsieve.fixed import (
     BAD_ANSWER, CATEGORY_KEYS, DEFAULT_BEHAVIOR, DEFAULT_CATEGORY, DEFAULT_DIFFICULTY, DEFAULT_QUALITY,
     DEFAULT_QUESTION_TYPE, DIFFICULTY_KEYS, FAILED_CATEGORY, FAILED_DIFFICULTY, FAILED_REASONING, FAILED_SOURCE,
@@ -19,6 +16,9 @@ from goldsieve.fixed import (
     QUESTION_TYPE_KEYS, REASONING_KEYS, RUBRIC_KEYS, RUBRIC_LEVELS, SCORE_MESSAGE, SOURCE_PREFIX, THOUGHT_KEYS,
     VOTE_BEHAVIOR_KEYS, VOTE_CATEGORY_KEYS,
 )
+from goldsieve.functions.loose_json import (
+    first_counting, first_json, member_columns, parse_object, pick_bool, pick_int, pick_text, string_items, with_members,
+)
 
 # Takes the texts of one Arrow batch, returns one answer (or None) for each.
 Answerer = Callable[[list[str]], list[str | None]]
@@ -106,151 +106,135 @@ def model_source(model: Column) -> Column:
     return F.concat(F.lit(SOURCE_PREFIX), F.split(F.split(model, "/")[1], ":")[0])
 
 
-def _with_document(frame: DataFrame, raw: str) -> DataFrame:
-    return frame.withColumn("_doc", parse_object(F.col(raw)))
+def _opened(frame: DataFrame, raw: str, *keys: list[str]) -> DataFrame:
+    """The answer parsed into ``_doc`` and its members under ``keys`` taken out."""
+    parsed = frame.withColumn("_doc", parse_object(F.col(raw)))
+    return with_members(parsed, "_doc", [k for group in keys for k in group])
+
+
+def _kept(frame: DataFrame, *without: str) -> list[str]:
+    return [c for c in frame.columns if c not in without]
+
+
+def _label_fields() -> dict[str, Column]:
+    return {
+        "category": pick_text(CATEGORY_KEYS, DEFAULT_CATEGORY),
+        "quality_score": pick_int(QUALITY_KEYS, DEFAULT_QUALITY),
+        "difficulty": pick_text(DIFFICULTY_KEYS, DEFAULT_DIFFICULTY),
+        "reasoning": pick_text(REASONING_KEYS, NO_REASONING),
+    }
 
 
 def normalize_label(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Category, quality, difficulty and reasoning with their key fallbacks; failed rows are left out."""
-    doc = F.col("_doc")
-    return _with_document(frame, raw).filter(doc.isNotNull()).select(
-        *[c for c in frame.columns if c != raw],
-        pick_text(doc, CATEGORY_KEYS, DEFAULT_CATEGORY).alias("category"),
-        pick_int(doc, QUALITY_KEYS, DEFAULT_QUALITY).alias("quality_score"),
-        pick_text(doc, DIFFICULTY_KEYS, DEFAULT_DIFFICULTY).alias("difficulty"),
-        pick_text(doc, REASONING_KEYS, NO_REASONING).alias("reasoning"),
-    )
+    opened = _opened(frame, raw, CATEGORY_KEYS, QUALITY_KEYS, DIFFICULTY_KEYS, REASONING_KEYS)
+    fields = [value.alias(name) for name, value in _label_fields().items()]
+    return opened.filter(F.col("_doc").isNotNull()).select(*_kept(frame, raw), *fields)
 
 
 def label_with_fallback(frame: DataFrame, raw: str = "raw", source: Column | None = None) -> DataFrame:
     """Like ``normalize_label`` but a failed row stays, marked as failed, and the positive flag is set."""
-    doc, failed = F.col("_doc"), F.col("_doc").isNull()
     why = F.when(F.col(raw).isNull(), NO_ANSWER).otherwise(BAD_ANSWER)
-
-    def unless_failed(value: Column, fallback: Column) -> Column:
-        return F.when(failed, fallback).otherwise(value)
-
-    quality = unless_failed(pick_int(doc, QUALITY_KEYS, DEFAULT_QUALITY), F.lit(DEFAULT_QUALITY))
-    return (
-        _with_document(frame, raw)
-        .withColumns(
-            {
-                "category": unless_failed(
-                    pick_text(doc, CATEGORY_KEYS, DEFAULT_CATEGORY), F.lit(FAILED_CATEGORY)
-                ),
-                "quality_score": quality,
-                "difficulty": unless_failed(
-                    pick_text(doc, DIFFICULTY_KEYS, DEFAULT_DIFFICULTY), F.lit(FAILED_DIFFICULTY)
-                ),
-                "reasoning": unless_failed(
-                    pick_text(doc, REASONING_KEYS, NO_REASONING),
-                    F.format_string(FAILED_REASONING, why),
-                ),
-                "labeled_by": unless_failed(F.lit("judge") if source is None else source, F.lit(FAILED_SOURCE)),
-            }
-        )
-        .withColumn("is_positive_case", F.when(F.col("quality_score") >= PASS_SCORE, 1).otherwise(0))
-        .drop("_doc", raw)
+    on_failure = {
+        "category": F.lit(FAILED_CATEGORY), "quality_score": F.lit(DEFAULT_QUALITY),
+        "difficulty": F.lit(FAILED_DIFFICULTY), "reasoning": F.format_string(FAILED_REASONING, why),
+        "labeled_by": F.lit(FAILED_SOURCE),
+    }
+    fields = {**_label_fields(), "labeled_by": F.lit("judge") if source is None else source}
+    opened = _opened(frame, raw, CATEGORY_KEYS, QUALITY_KEYS, DIFFICULTY_KEYS, REASONING_KEYS)
+    failed = F.col("_doc").isNull()
+    labeled = opened.select(
+        *_kept(frame, raw),
+        *[F.when(failed, on_failure[name]).otherwise(value).alias(name) for name, value in fields.items()],
     )
+    return labeled.withColumn("is_positive_case", F.when(F.col("quality_score") >= PASS_SCORE, 1).otherwise(0))
 
 
-def _rubric(doc: Column) -> tuple[Column, Column]:
-    """The rubric as an object, and the text to use for the top level when it is plain text."""
-    found = first_truthy(doc, RUBRIC_KEYS)
-    shape, text = kind(found), found.cast("string")
-    inner = F.try_parse_json(text)
-    as_object = F.when(shape.startswith("OBJECT"), found).when(
-        (shape == "STRING") & kind(inner).startswith("OBJECT"), inner
-    )
-    plain = F.when((shape == "STRING") & inner.isNull(), text)
-    return as_object, plain
+def _answered() -> Column:
+    """An answer that is an object with at least one member."""
+    return F.col("_doc").isNotNull() & (F.to_json("_doc") != "{}")
 
 
-def normalize_rubric(frame: DataFrame, raw: str = "raw") -> DataFrame:
-    """The three rubric levels, from an object, from JSON inside text, or from plain text (top level only)."""
-    as_object, plain = _rubric(F.col("_doc"))
-    rubric = F.col("_rubric")
+def _golden_fields() -> list[Column]:
+    return [
+        pick_text(QUESTION_TYPE_KEYS, DEFAULT_QUESTION_TYPE).alias("question_type"),
+        pick_text(THOUGHT_KEYS, "").alias("chain_of_thought"),
+        pick_text(GOLDEN_KEYS).alias("golden_answer"),
+    ]
+
+
+def _rubric_levels(opened: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` and the rubric's levels, from an object, JSON inside text, or plain text."""
+    found, json = first_counting(RUBRIC_KEYS), first_json(RUBRIC_KEYS)
+    text = F.when(json.startswith('"'), found.cast("string"))
+    staged = opened.select(*kept, F.when(json.startswith("{"), found).alias("_object"), text.alias("_text"))
+    staged = staged.withColumn("_inner", F.try_parse_json("_text"))
+    rubric = F.coalesce("_object", F.when(F.col("_text").rlike(r"^\s*\{"), F.col("_inner")))
+    plain = F.when(F.col("_inner").isNull(), F.col("_text"))
+    staged = staged.select(*kept, rubric.alias("_rubric"), plain.alias("_plain"))
+    members = with_members(staged, "_rubric", [k for keys in RUBRIC_LEVELS.values() for k in keys])
     top, *_ = RUBRIC_LEVELS
     levels = [
-        F.coalesce(pick_text(rubric, keys), F.col("_plain") if level == top else F.lit(None), F.lit("")).alias(level)
+        F.coalesce(pick_text(keys), F.col("_plain") if level == top else F.lit(None), F.lit("")).alias(level)
         for level, keys in RUBRIC_LEVELS.items()
     ]
-    return (
-        _with_document(frame, raw)
-        .filter(truthy(F.col("_doc")))
-        .withColumns({"_rubric": as_object, "_plain": plain})
-        .select(*[c for c in frame.columns if c != raw], *levels)
-    )
+    return members.select(*kept, *levels)
+
+
+def normalize_rubric(frame: DataFrame, raw: str = "raw") -> DataFrame:
+    """The three rubric levels; plain text counts for the top level only."""
+    return _rubric_levels(_opened(frame, raw, RUBRIC_KEYS).filter(_answered()), _kept(frame, raw))
 
 
 def normalize_golden(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Question type, reasoning and golden answer; failed and empty answers are left out and stay pending."""
-    doc = F.col("_doc")
-    return _with_document(frame, raw).filter(truthy(doc)).select(
-        *[c for c in frame.columns if c != raw],
-        pick_text(doc, QUESTION_TYPE_KEYS, DEFAULT_QUESTION_TYPE).alias("question_type"),
-        pick_text(doc, THOUGHT_KEYS, "").alias("chain_of_thought"),
-        pick_text(doc, GOLDEN_KEYS).alias("golden_answer"),
-    )
+    opened = _opened(frame, raw, QUESTION_TYPE_KEYS, THOUGHT_KEYS, GOLDEN_KEYS).filter(_answered())
+    return opened.select(*_kept(frame, raw), *_golden_fields())
 
 
 def golden_rows(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Golden fields and rubric levels of each answered eval, parsed once."""
-    kept = frame.withColumn("_raw", F.col(raw))
-    fields = normalize_golden(kept, raw)
-    return normalize_rubric(fields, "_raw")
+    opened = _opened(frame, raw, QUESTION_TYPE_KEYS, THOUGHT_KEYS, GOLDEN_KEYS, RUBRIC_KEYS).filter(_answered())
+    members = [c for key in RUBRIC_KEYS for c in member_columns(key)]
+    fields = opened.select(*_kept(frame, raw), *members, *_golden_fields())
+    return _rubric_levels(fields, _kept(fields, *members))
 
 
 def normalize_multilabel(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Expected quality and behavior with defaults, both lists as JSON text; failed rows are left out."""
-    doc = F.col("_doc")
-
-    def listing(key: str) -> Column:
-        return F.coalesce(F.to_json(first_truthy(doc, [key])), F.lit("[]"))
-
-    return _with_document(frame, raw).filter(doc.isNotNull()).select(
-        *[c for c in frame.columns if c != raw],
-        pick_int(doc, ["expected_quality"], DEFAULT_QUALITY).alias("expected_quality"),
-        pick_text(doc, ["expected_behavior"], DEFAULT_BEHAVIOR).alias("expected_behavior"),
-        listing("must_contain").alias("must_contain"),
-        listing("must_not_contain").alias("must_not_contain"),
+    opened = _opened(frame, raw, ["expected_quality", "expected_behavior", "must_contain", "must_not_contain"])
+    return opened.filter(F.col("_doc").isNotNull()).select(
+        *_kept(frame, raw),
+        pick_int(["expected_quality"], DEFAULT_QUALITY).alias("expected_quality"),
+        pick_text(["expected_behavior"], DEFAULT_BEHAVIOR).alias("expected_behavior"),
+        F.coalesce(first_json(["must_contain"]), F.lit("[]")).alias("must_contain"),
+        F.coalesce(first_json(["must_not_contain"]), F.lit("[]")).alias("must_not_contain"),
     )
 
 
 def normalize_vote(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """One vote per row; a failed answer stays as a vote of NULLs, because it counts as a run."""
-    doc = F.col("_doc")
-    return (
-        _with_document(frame, raw)
-        .withColumns(
-            {
-                "category": F.when(doc.isNotNull(), pick_text(doc, VOTE_CATEGORY_KEYS, DEFAULT_CATEGORY)),
-                "behavior": F.when(
-                    doc.isNotNull(), pick_text(doc, VOTE_BEHAVIOR_KEYS, DEFAULT_BEHAVIOR)
-                ),
-            }
-        )
-        .drop("_doc", raw)
+    given = F.col("_doc").isNotNull()
+    return _opened(frame, raw, VOTE_CATEGORY_KEYS, VOTE_BEHAVIOR_KEYS).select(
+        *_kept(frame, raw),
+        F.when(given, pick_text(VOTE_CATEGORY_KEYS, DEFAULT_CATEGORY)).alias("category"),
+        F.when(given, pick_text(VOTE_BEHAVIOR_KEYS, DEFAULT_BEHAVIOR)).alias("behavior"),
     )
 
 
 def normalize_score(frame: DataFrame, raw: str = "raw", failure: str = "No score returned") -> DataFrame:
     """Score and the three booleans with their defaults; a failed answer becomes a failing row of score 3."""
-    doc, failed = F.col("_doc"), F.col("_doc").isNull()
+    failed = F.col("_doc").isNull()
 
     def flag(key: str, default: bool) -> Column:
-        return F.when(failed, F.lit(False)).otherwise(pick_bool(doc, key, default))
-
-    return (
-        _with_document(frame, raw)
-        .withColumns(
-            {
-                "score": F.when(failed, DEFAULT_QUALITY).otherwise(pick_int(doc, ["score"], DEFAULT_QUALITY)),
-                "judge_passed": flag("passed", False),
-                "must_contain_pass": flag("must_contain_pass", False),
-                "must_not_contain_pass": flag("must_not_contain_pass", True),
-                "reasoning": F.when(failed, failure).otherwise(pick_text(doc, ["reasoning"], "")),
-            }
-        )
-        .drop("_doc", raw)
+        return F.when(failed, F.lit(False)).otherwise(pick_bool(key, default))
+
+    opened = _opened(frame, raw, ["score", "passed", "must_contain_pass", "must_not_contain_pass", "reasoning"])
+    return opened.select(
+        *_kept(frame, raw),
+        F.when(failed, DEFAULT_QUALITY).otherwise(pick_int(["score"], DEFAULT_QUALITY)).alias("score"),
+        flag("passed", False).alias("judge_passed"),
+        flag("must_contain_pass", False).alias("must_contain_pass"),
+        flag("must_not_contain_pass", True).alias("must_not_contain_pass"),
+        F.when(failed, failure).otherwise(pick_text(["reasoning"], "")).alias("reasoning"),
     )
