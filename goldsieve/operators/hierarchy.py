@@ -12,6 +12,7 @@ component, so each task holds one component's edges of one band, never a whole t
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,10 +114,11 @@ def select_clusters(
         F.when(copied, F.col("key").cast("string")).alias("cluster"),
     )
     state = cut_lineage(state)
-    links = state.filter(F.col("cluster").isNotNull()).select(
+    first = state.filter(F.col("cluster").isNotNull()).select(
         F.lit("point").alias("kind"), "node", F.col("cluster").alias("parent"),
         F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("boolean").alias("kept"),
     )
+    links = [first]  # parts of stored bands
     where = points.select("key", F.col("key").alias("node"))
     bands = max(1, math.ceil(tree.count() / band_rows))
     ranged = cut_lineage(
@@ -141,9 +143,7 @@ def select_clusters(
         merged = cut_lineage(
             touched.unionByName(inner, allowMissingColumns=True).groupBy("grp").applyInPandas(_merge_band, _OUT)
         )
-        links = cut_lineage(
-            links.unionByName(merged.filter(F.col("kind").isin("point", "cluster")).select(*links.columns))
-        )
+        links.append(merged.filter(F.col("kind").isin("point", "cluster")).select(*first.columns))
         state = cut_lineage(
             state.join(group, "node", "left_anti").unionByName(
                 merged.filter(F.col("kind") == "state").select(*state.columns)
@@ -160,8 +160,9 @@ def select_clusters(
     else:
         kept = (F.col("lambdas") - F.col("size") * _lambda(radius)) >= F.col("below")
     roots = last.select("cluster", F.lit(None).cast("string").alias("parent"), kept.alias("kept"))
-    clusters = links.filter(F.col("kind") == "cluster").select("cluster", "parent", "kept").unionByName(roots)
-    joined = links.filter(F.col("kind") == "point").select(F.col("node").alias("key"), F.col("parent").alias("cluster"))
+    linked = reduce(DataFrame.unionByName, links)
+    clusters = linked.filter(F.col("kind") == "cluster").select("cluster", "parent", "kept").unionByName(roots)
+    joined = linked.filter(F.col("kind") == "point").select(F.col("node").alias("key"), F.col("parent").alias("cluster"))
     final = joined.join(_top_kept(clusters), "cluster").filter(F.col("top").isNotNull())
     names = final.groupBy("top").agg(F.min("key").alias("label"))
     labeled = final.join(names, "top").select("key", "label")
