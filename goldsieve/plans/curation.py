@@ -63,9 +63,14 @@ def cluster_batch(tables: Tables, models: Models, batch: str, radius: float | No
     tables.append("cluster_assignments", named.withColumn("batch_id", F.lit(batch)))
 
 
-def label_batch(tables: Tables, models: Models) -> None:
-    """Judge novel and badly received logs; failures are kept as fallback labels."""
-    todo = pending.to_label(tables.logs(), tables.read("eval_dataset")).withColumnRenamed("id", "interaction_id")
+def label_batch(tables: Tables, models: Models, also: DataFrame | None = None) -> None:
+    """Judge novel and badly received logs, and the logs of ``also`` (``id``); failures are kept as fallback labels."""
+    todo = pending.to_label(tables.logs(), tables.read("eval_dataset"))
+    if also is not None:
+        labeled = tables.read("eval_dataset").select(F.col("interaction_id").alias("id"))
+        more = tables.read("normalized_logs").select("id", "user_prompt", "model_response").join(also.select("id"), "id", "left_semi")
+        todo = todo.unionByName(more.join(labeled, "id", "left_anti")).dropDuplicates(["id"])
+    todo = todo.withColumnRenamed("id", "interaction_id")
     raw = _ask(todo, judge.label_message, models.labeler, models)
     tables.append("eval_dataset", assign_eval_ids(judge.label_with_fallback(raw, source=F.lit(models.label_source))))
 
@@ -128,11 +133,17 @@ def fill_gaps(tables: Tables, pool: DataFrame) -> DataFrame:
     return coverage.top_up(coverage.gap_quota(gaps), pool)
 
 
-def run_curation(tables: Tables, raw: DataFrame, models: Models, batch: str, radius: float | None = None) -> None:
-    """All stages once, for one batch of raw logs."""
+def run_curation(
+    tables: Tables, raw: DataFrame, models: Models, batch: str, radius: float | None = None, pool: DataFrame | None = None,
+) -> None:
+    """All stages once, for one batch of raw logs.
+
+    ``pool`` (``id, category``) names stored logs that may fill thin cells of the last coverage report.
+    """
+    also = None if pool is None else cut_lineage(fill_gaps(tables, pool))
     ingest_batch(tables, raw, batch)
     cluster_batch(tables, models, batch, radius)
-    label_batch(tables, models)
+    label_batch(tables, models, also)
     golden_batch(tables, models)
     multilabel_batch(tables, models)
     route_batch(tables, models)

@@ -17,8 +17,10 @@ from goldsieve.sources.tables import Tables
 def run_evaluation(
     tables: Tables, model: Maker, scorer: Maker, model_name: str, model_type: str = "injected",
     run_id: str | None = None, limit: int | None = None, assertions: str = "literal", partitions: int | None = None,
-) -> str:
-    """Ask the model, score its answers, store results and the run's summary; returns the run id.
+) -> str | None:
+    """Ask the model, score its answers, store results and the run's summary.
+
+    Returns the run id, or None when there is no case to evaluate.
 
     ``assertions`` is 'literal' (texts contained or not) or 'judge' (the scorer's own two flags).
     """
@@ -32,8 +34,11 @@ def run_evaluation(
         tables.read("dedup_log"),
     )
     cases = cut_lineage(evaluate.first_cases(cases, limit))
+    total = cases.count()
+    if not total:
+        return None
     spark = tables.spark
-    start = spark.createDataFrame([(run_id, model_name, model_type, cases.count())], "run_id string, model_name string, model_type string, total_cases bigint")
+    start = spark.createDataFrame([(run_id, model_name, model_type, total)], "run_id string, model_name string, model_type string, total_cases bigint")
     start = start.withColumn("started_at", F.current_timestamp())
     start = cut_lineage(start)
     tables.append("eval_runs", start)
@@ -52,9 +57,8 @@ def run_evaluation(
     tables.put_part("eval_results", results, run_id)
 
     summary = evaluate.run_summary(regress.results_of(tables.read("eval_results"), run_id))
-    done = start.drop("total_cases").join(summary, "run_id", "left").withColumn("completed_at", F.current_timestamp())
-    empty = {"total_cases": 0, "passed": 0, "failed": 0, "pass_rate": 0.0}
-    tables.append("eval_runs", done.fillna(empty))
+    done = start.drop("total_cases").join(summary, "run_id").withColumn("completed_at", F.current_timestamp())
+    tables.append("eval_runs", done)
     return run_id
 
 

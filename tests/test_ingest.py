@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from goldsieve.fixed import EMAIL_MARK, EMAIL_PATTERN, PHONE_MARK, PHONE_PATTERN
 from goldsieve.functions.text import or_word, percent_text, redact_pii, token_estimate
 from goldsieve.operators import ingest
 
@@ -70,3 +74,14 @@ def test_new_and_distinct_logs(spark):
     known = spark.createDataFrame([("1",), ("5",)], "id string")
     kept = ingest.distinct_logs(ingest.new_logs(raw, known))
     assert sorted(r.id for r in kept.collect()) == ["0", "2", "3", "4"]
+
+
+def test_redaction_equals_a_direct_reading_of_the_patterns(spark):
+    rng = random.Random(9)
+    alphabet = "5551234567890--..@ab.com _é%+\n  "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += [t + rng.choice(["555-123-4567", "555.1234567", "me@x.org"]) + u for t, u in zip(texts, texts[1:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.v for r in df.select("i", redact_pii(F.col("t")).alias("v")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == re.sub(PHONE_PATTERN, PHONE_MARK, re.sub(EMAIL_PATTERN, EMAIL_MARK, t)), t

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -135,3 +136,19 @@ def test_decisions_move_scores_and_queue(spark):
     s, q = confidence.apply_decisions(scores, queue, decided)
     assert {r.eval_id: r.status for r in s.collect()} == {1: "approved", 2: "rejected", 3: "approved"}
     assert [r.reviewed for r in q.collect()] == [1, 1, 1]
+
+
+def python_text(value):
+    return value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
+
+
+def test_fallback_chains_equal_python_or(spark):
+    rng = random.Random(4)
+    values = [None, "", "0", 0, 0.0, False, True, [], {}, "x y", 1, 2.5, ["a"], {"a": 1}, " ", "false"]
+    docs = [
+        {k: rng.choice(values) for k in ("category", "Category", "interaction_type") if rng.random() < 0.8} for _ in range(600)
+    ]
+    got = by_id(judge.normalize_label(raw(spark, *docs)))
+    for i, d in enumerate(docs):
+        want = d.get("category") or d.get("Category") or d.get("interaction_type") or "Unknown"
+        assert got[i].category == python_text(want), d

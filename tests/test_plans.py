@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from goldsieve.operators import ingest
-from goldsieve.plans.curation import Models, add_notes, fill_gaps, ingest_batch, review, run_curation
+from goldsieve.plans.curation import Models, add_notes, fill_gaps, ingest_batch, label_batch, review, run_curation
 from goldsieve.plans.evaluation import choose_runs, run_comparison, run_evaluation
 from goldsieve.schemas import schema_of
 from goldsieve.sources.tables import Tables
@@ -75,8 +75,13 @@ def test_review_notes_and_gaps(curated):
     add_notes(tables, spark.createDataFrame([(two[0], "old")], "eval_id bigint, manual_notes string"))
     add_notes(tables, spark.createDataFrame([(two[0], "new")], "eval_id bigint, manual_notes string"))
     assert tables.evals().filter(F.col("eval_id") == two[0]).first().manual_notes == "new"
-    pool = spark.range(100).select(F.col("id").cast("string"), F.lit("Jailbreak").alias("category"))
-    assert fill_gaps(tables, pool).count() == 10
+    done = tables.read("eval_dataset").select(F.col("interaction_id").alias("id"))
+    pool = tables.read("normalized_logs").select("id").join(done, "id", "left_anti").withColumn("category", F.lit("Jailbreak"))
+    picked = fill_gaps(tables, pool)
+    assert picked.count() == min(10, pool.count()) > 0
+    before = tables.read("eval_dataset").count()
+    label_batch(tables, models(), picked)
+    assert tables.read("eval_dataset").count() == before + 10
 
 
 def test_evaluation_and_comparison(curated):
@@ -103,6 +108,12 @@ def test_evaluation_and_comparison(curated):
     assert tables.read("eval_results").filter(F.col("run_id") == limited).count() == 3
 
 
+def test_nothing_to_evaluate_or_compare(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    assert run_evaluation(tables, fixed(str), fixed(str), "m") is None
+    assert run_comparison(tables) is None
+
+
 def test_tables_read_empty_append_and_replace(spark, tmp_path):
     tables = Tables(spark, str(tmp_path))
     assert tables.read("golden_answers").count() == 0 and not tables.exists("golden_answers")
