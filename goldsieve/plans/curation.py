@@ -32,26 +32,40 @@ class Models:
     voter: Maker
     label_source: str = "judge"
     encoder: Callable | None = None
-    partitions: int | None = None  # how many tasks may ask models at a time
+    partitions: int | None = None  # tasks that ask models; as many as there are cores by default
+
+    def spread(self, frame: DataFrame) -> int:
+        """Small inputs are merged into few tasks by size; answering is slow, so they are spread again."""
+        return self.partitions or frame.sparkSession.sparkContext.defaultParallelism
 
 
 def _vectors(frame: DataFrame, models: Models) -> DataFrame:
     if models.encoder is None:
         return with_token_vector(frame, "user_prompt").drop("user_prompt")
-    dense = encode(frame, "user_prompt", "embedding", models.encoder)
+    dense = encode(frame.repartition(models.spread(frame)), "user_prompt", "embedding", models.encoder)
     return with_dense_vector(dense, "embedding").drop("embedding", "user_prompt")
 
 
 def _ask(todo: DataFrame, message, maker: Maker, models: Models) -> DataFrame:
     keys = [c for c in todo.columns if c not in ("user_prompt", "model_response")]
     asked = todo.select(*keys, message(F.col("user_prompt"), F.col("model_response")).alias("message"))
-    return cut_lineage(judge.infer(asked, "message", "raw", maker, models.partitions).drop("message"))
+    return cut_lineage(judge.infer(asked, "message", "raw", maker, models.spread(asked)).drop("message"))
 
 
-def ingest_batch(tables: Tables, raw: DataFrame, batch: str, fraction: float = 0.5, seed: int = 42) -> None:
-    """Normalize the logs no other batch holds. Running a batch again replaces its own rows."""
-    known = tables.read("normalized_logs").filter(F.col("ingest_batch") != batch).select("id")
-    tables.put_part("normalized_logs", ingest.ingest(ingest.distinct_logs(raw), known, fraction, seed), batch)
+def ingest_batch(
+    tables: Tables, raw: DataFrame, batch: str, fraction: float = 0.5, seed: int = 42, ids_keep_time: bool = False,
+) -> None:
+    """Normalize the logs no other batch holds. Running a batch again replaces its own rows.
+
+    ``ids_keep_time`` promises that a repeated id comes with the same time. Known ids are then looked up in
+    the time range of ``raw`` only, which skips the files of other times by their statistics.
+    """
+    known = tables.read("normalized_logs").filter(F.col("ingest_batch") != batch)
+    if ids_keep_time:
+        span = raw.agg(F.min("log_ts").alias("low"), F.max("log_ts").alias("high")).first()
+        known = known.filter(F.col("log_ts").between(F.lit(span.low), F.lit(span.high)))
+    fresh = ingest.ingest(ingest.distinct_logs(raw), known.select("id"), fraction, seed)
+    tables.put_part("normalized_logs", fresh, batch)
 
 
 def cluster_batch(tables: Tables, models: Models, batch: str, radius: float | None = None) -> None:
@@ -135,9 +149,13 @@ def fill_gaps(tables: Tables, pool: DataFrame) -> DataFrame:
 
 def run_curation(
     tables: Tables, raw: DataFrame, models: Models, batch: str, radius: float | None = None, pool: DataFrame | None = None,
+    floor: float | None = None,
 ) -> None:
     """All stages once, for one batch of raw logs.
 
+    ``radius`` limits how far apart clustered prompts may be, ``floor`` how similar a match must be to be
+    looked for; both make large batches far cheaper.
+
     ``pool`` (``id, category``) names stored logs that may fill thin cells of the last coverage report.
     """
     also = None if pool is None else cut_lineage(fill_gaps(tables, pool))
@@ -147,4 +165,4 @@ def run_curation(
     golden_batch(tables, models)
     multilabel_batch(tables, models)
     route_batch(tables, models)
-    dedup_batch(tables, models)
+    dedup_batch(tables, models, floor)

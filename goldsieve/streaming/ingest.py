@@ -8,10 +8,10 @@ is exact over any time; a replayed micro-batch replaces its own folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from goldsieve.operators import ingest
+from goldsieve.plans.curation import ingest_batch
 from goldsieve.schemas import schema_of
 from goldsieve.sources.tables import Tables
 
@@ -36,15 +36,15 @@ def redacted(logs: DataFrame) -> DataFrame:
 
 def start_ingest(
     logs: DataFrame, tables: Tables, checkpoint: str, name: str = "stream", every: str | None = None,
-    fraction: float = 0.5, seed: int = 42,
+    fraction: float = 0.5, seed: int = 42, ids_keep_time: bool = False,
 ) -> StreamingQuery:
-    """Write normalized logs batch by batch. Without ``every``, take what is there and stop."""
+    """Write normalized logs batch by batch. Without ``every``, take what is there and stop.
+
+    See ``ingest_batch`` for ``ids_keep_time``: a long history is then not read for every micro-batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        part = f"{name}-{number:012d}"
-        known = tables.read("normalized_logs").filter(F.col("ingest_batch") != part).select("id")
-        fresh = ingest.ingest(ingest.distinct_logs(batch), known, fraction, seed)
-        tables.put_part("normalized_logs", fresh, part)
+        ingest_batch(tables, batch, f"{name}-{number:012d}", fraction, seed, ids_keep_time)
 
     writer = logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}

@@ -158,8 +158,10 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(map(tuple, want.select(*columns).collect()), key=str)
     assert got.select("ingest_batch").distinct().count() == 2
     # the same files again, under a fresh checkpoint and another name: every id is known
-    start_ingest(log_stream(spark, str(tmp_path / "in")), tables, str(tmp_path / "cp2"), name="again").awaitTermination()
-    assert tables.read("normalized_logs").count() == 40
+    for n, keep in enumerate((False, True)):
+        again = log_stream(spark, str(tmp_path / "in"))
+        start_ingest(again, tables, str(tmp_path / f"again{n}"), name=f"again{n}", ids_keep_time=keep).awaitTermination()
+        assert tables.read("normalized_logs").count() == 40
 
 
 def test_batch_rerun_replaces_its_own_rows(spark, tmp_path):
