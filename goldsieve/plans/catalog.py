@@ -217,12 +217,12 @@ def normalize_label(t):
        CASE WHEN j IS NULL THEN 'unknown' ELSE {_DIFFICULTY} END AS difficulty,
        CASE WHEN raw IS NULL THEN 'OpenRouter failed (openrouter_exhausted)' WHEN j IS NULL THEN 'OpenRouter failed (parse_error)'
             ELSE {_REASONING} END AS reasoning,
-       CASE WHEN j IS NULL THEN 'fallback' ELSE 'openrouter:nemotron' END AS labeled_by,
+       CASE WHEN j IS NULL THEN 'fallback' ELSE 'openrouter:judge-1' END AS labeled_by,
        CAST(CASE WHEN j IS NOT NULL AND {_QUALITY} >= 4 THEN 1 ELSE 0 END AS INT) AS is_positive_case
        FROM (SELECT eval_id, raw, {_JSON} AS j FROM judge_raw)""",
 )
 def label_with_fallback(t):
-    return judge.label_with_fallback(t.judge_raw, source=judge.model_source(F.lit("vendor/nemotron:free")))
+    return judge.label_with_fallback(t.judge_raw, source=judge.model_source(F.lit("vendor/judge-1:free")))
 
 
 @query(
