@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from goldsieve.llm.exact_dedup import exact_duplicates
 from goldsieve.llm.mixing import mix_sources
+from goldsieve.llm.quality_rules import ORACLE as QUALITY_ORACLE
+from goldsieve.llm.quality_rules import quality_rules
 from goldsieve.llm.sharding import shard_by_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +54,8 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("shard_bytes").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_quality_rules", QUALITY_ORACLE)
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
