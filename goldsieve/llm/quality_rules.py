@@ -43,7 +43,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols", "word_chars", 10_000, 300),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 10_000, 2_000),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 10_000, 4_000),
     Rule("repeats", "n_repeat_words", "n_words", 10_000, 1_500),
     Rule("word_length", "word_chars", "n_words", 100, 200, both=True),
 )
