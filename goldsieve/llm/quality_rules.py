@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,6 @@ class Rule:
 RULES = (
     Rule("symbols", "n_symbols", "word_chars", 10_000, 300),
     Rule("dup_lines", "n_dup_lines", "n_lines", 10_000, 4_000),
-    Rule("repeats", "n_repeat_words", "n_words", 10_000, 1_500),
     Rule("word_length", "word_chars", "n_words", 100, 200, both=True),
 )
 SPREAD = 6
@@ -158,7 +159,7 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", grou
     limits = limits.select(*(F.col(n).alias(f"{n}_") for n in names), *(c for c in limits.columns if c not in names))
     same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
     inside = [_value(r).between(F.col(f"{r.name}_low"), F.col(f"{r.name}_high")) for r in RULES]
-    verdict = F.coalesce(inside[0] & inside[1] & inside[2] & inside[3], F.lit(False))
+    verdict = F.coalesce(reduce(and_, inside), F.lit(False))
     return judged.join(limits, same, "left").select(
         F.col("_id").alias(key), *MEASURES[:5], "base_failed", (~F.col("base_failed") & verdict).alias("kept"),
     )

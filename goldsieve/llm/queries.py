@@ -7,14 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from goldsieve.llm.bpe import bpe_decode, bpe_encode
 from goldsieve.llm.exact_dedup import exact_duplicates
 from goldsieve.llm.mixing import mix_sources
 from goldsieve.llm.quality_rules import ORACLE as QUALITY_ORACLE
 from goldsieve.llm.quality_rules import quality_rules
 from goldsieve.llm.sharding import shard_by_bytes
+from goldsieve.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +62,18 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules", QUALITY_ORACLE)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
