@@ -68,6 +68,10 @@ def block_masks(count: int, bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the absolute value's bits
+
+
 def _forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that keep what is connected in one run: each is looked for only among those not reached yet."""
     left, a, b = prints, [], []
@@ -75,7 +79,7 @@ def _forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            close = np.bitwise_count(left ^ at) <= bits
+            close = distance(left, at) <= bits
             found, left = left[close], left[~close]
             a += [at] * len(found)
             b += found.tolist()
@@ -95,7 +99,7 @@ def links_in_runs(bits: int):
         a, b = [], []
         for step in range(1, min(SHORT, int(sizes.max()))):
             left = np.flatnonzero((run[:-step] == run[step:]) & ~long_row[:-step])
-            left = left[np.bitwise_count(prints[left] ^ prints[left + step]) <= bits]
+            left = left[distance(prints[left], prints[left + step]) <= bits]
             a.append(prints[left])
             b.append(prints[left + step])
         for k in np.flatnonzero(sizes > SHORT):
