@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from goldsieve.llm.common import scratch
 from goldsieve.llm.bpe import bpe_decode, bpe_encode
 from goldsieve.llm.exact_dedup import exact_duplicates
 from goldsieve.llm.mixing import mix_sources
@@ -18,6 +19,7 @@ from goldsieve.llm.quality_rules import ORACLE as QUALITY_ORACLE
 from goldsieve.llm.quality_rules import quality_rules
 from goldsieve.llm.sharding import shard_by_bytes
 from goldsieve.llm.simhash import near_duplicates
+from goldsieve.llm.token_output import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +79,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_token_output")
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, folder).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"),
+    )
