@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from goldsieve.llm.common import scratch
 from goldsieve.llm.bpe import bpe_decode, bpe_encode
 from goldsieve.llm.exact_dedup import exact_duplicates
+from goldsieve.llm.language import identify_languages, train_language_model
 from goldsieve.llm.mixing import mix_sources
+from goldsieve.llm.quality_model import score_quality
 from goldsieve.llm.quality_rules import ORACLE as QUALITY_ORACLE
 from goldsieve.llm.quality_rules import quality_rules
 from goldsieve.llm.sharding import shard_by_bytes
@@ -88,3 +90,14 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify_languages(docs, train_language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_quality_model")
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
