@@ -15,6 +15,8 @@ from goldsieve.llm.common import scratch
 from goldsieve.llm.bpe import bpe_decode, bpe_encode
 from goldsieve.llm.exact_dedup import exact_duplicates
 from goldsieve.llm.language import identify_languages, train_language_model
+from goldsieve.llm.line_dedup import ORACLE as LINE_ORACLE
+from goldsieve.llm.line_dedup import dedup_lines
 from goldsieve.llm.mixing import mix_sources
 from goldsieve.llm.quality_model import score_quality
 from goldsieve.llm.quality_rules import ORACLE as QUALITY_ORACLE
@@ -101,3 +103,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_model")
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op9_line_dedup", LINE_ORACLE)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
