@@ -229,24 +229,30 @@ def train_language_model(
     return network
 
 
-def identify_languages(docs: DataFrame, network: Network, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: ``key, held_out, lang_pred, score`` and ``text_hash``.
+def identify_languages(
+    docs: DataFrame, network: Network, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per document: ``key, held_out, lang_pred, score`` and the ``carry`` columns.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text when nothing was learned. Every letter
-    of a text counts, whatever its length. Null and repeated keys are kept as they are; only ``text`` and ``key`` are
-    read. An empty table gives no rows.
+    of a text counts, whatever its length. Null and repeated keys are kept as they are; only ``text``, ``key`` and what
+    is carried are read. An empty table gives no rows.
     """
-    rows = docs.select(F.col(key).alias("id"), held_out(F.col(key)).alias("held_out"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    names = [f"_{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(key).alias("id"), held_out(F.col(key)).alias("held_out"), *(F.col(c).alias(n) for c, n in zip(carry, names)), F.col(text).alias("text")
+    )
     shared = docs.sparkSession.sparkContext.broadcast(network)  # some ten thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in small_batches(batches, "text"):
             labels = labeller.label(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held_out"), batch.column("text_hash"), pa.array([x for x, _ in labels], pa.string()), pa.array([s for _, s in labels], pa.float64())],
-                ["id", "held_out", "text_hash", "lang_pred", "score"],
-            )
-
-    out = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, held_out boolean, text_hash bigint, lang_pred string, score double")
-    return out.select(F.col("id").alias(key), "held_out", "lang_pred", "score", "text_hash")
+            found = [pa.array([x for x, _ in labels], pa.string()), pa.array([s for _, s in labels], pa.float64())]
+            kept = ["id", "held_out", *names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *found], [*kept, "lang_pred", "score"])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in ("id", "held_out", *names))
+    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return out.select(F.col("id").alias(key), "held_out", "lang_pred", "score", *(F.col(n).alias(c) for n, c in zip(names, carry)))

@@ -111,23 +111,24 @@ def rounder(most: int):
 
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST,
-    text: str = "text", key: str = "doc_id", source: str = "source",
+    text: str = "text", key: str = "doc_id", source: str = "source", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: ``key, size, source_size, target, copies, taken`` and ``text_hash``.
+    """One row per document: ``key, size, source_size, target, copies, taken`` and the ``carry`` columns.
 
     ``size`` is the number of words (null: 0), ``taken`` is ``copies * size``. Sources in code point order, null last as
     a source of its own, get ``weights`` in turn. A document without words is taken once, or ``most`` times from a
     source that is taken in full. Which documents of a size get the further copy follows from a hash of the key (then
     of the text), so reruns agree; identical rows are interchangeable. Rows with null or repeated keys count like
-    any other. Only the three columns are read. Empty tables give no rows. The sources themselves, one
+    any other. Only the three columns and what is carried are read. Empty tables give no rows. The sources themselves, one
     name and weight each, are listed on the driver, as weights are.
     """
     spark, slices = docs.sparkSession, partitions(docs.sparkSession)
-    rows = stored(docs.select(
+    narrow = [
         F.col(key).alias("id"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64(text).alias("text_hash"),
-    ), "sizes")
+    ]
+    rows = stored(docs.select(*narrow), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).collect()
     sums.sort(key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r.words for r in sums], [weights[i % len(weights)] for i in range(len(sums))], share, most)
@@ -135,11 +136,14 @@ def mix_sources(
         [(i, r.source, r.words, t) for i, (r, t) in enumerate(zip(sums, wanted))],
         "src int, source_name string, source_size bigint, target double",
     )
-    numbered = rows.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("source_name"))).select(
-        "id", "src", "size", "text_hash", "source_size", "target",
-        F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(slices)).alias("slice"),
-    )
-    cells = stored(numbered.groupBy("src", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "cells")
+
+    def numbered(frame: DataFrame, *carried: str) -> DataFrame:
+        return frame.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("source_name"))).select(
+            "id", "src", "size", "text_hash", "source_size", "target", *carried,
+            F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(slices)).alias("slice"),
+        )
+
+    cells = stored(numbered(rows).groupBy("src", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "cells")
     sizes = stored(cells.groupBy("src", "size").agg(F.sum("n").alias("n")), "histogram")
     means = {i: max(r.words / r.docs, 1e-9) for i, r in enumerate(sums)}
     duals = solve(sizes, dict(enumerate(wanted)), means, most)
@@ -155,8 +159,11 @@ def mix_sources(
     starts = cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     plan = starts.join(rounded, ["src", "size"])
     place = Window.partitionBy("src", "size", "slice").orderBy(F.xxhash64("id"), F.col("id"), F.col("text_hash"))
-    ranked = numbered.withColumn("place", F.row_number().over(place)).join(plan, ["src", "size", "slice"])
+    names = [f"_{i}" for i in range(len(carry))]
+    whole = docs.select(*narrow, *(F.col(c).alias(n) for c, n in zip(carry, names))) if carry else rows
+    ranked = numbered(whole, *names).withColumn("place", F.row_number().over(place)).join(plan, ["src", "size", "slice"])
     copies = F.col("every") + (F.col("start") + F.col("place") <= F.col("extra")).cast("bigint")
     return ranked.withColumn("copies", copies).select(
-        F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash",
+        F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        *(F.col(n).alias(c) for n, c in zip(names, carry)),
     )

@@ -141,10 +141,10 @@ def print_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = BITS,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``key, fingerprint`` (16 hex digits), ``component_id, text_hash``.
+    """One row per row of ``docs``: ``key, fingerprint`` (16 hex digits), ``component_id``, and ``component, text_hash``.
 
     Fingerprints link at ``bits`` or fewer differing bits; the component is named by the smallest key that chains of links
-    reach. Texts without words (null, empty, white space) have fingerprint zero and link like any other. Null keys
+    reach (``component`` is its smallest fingerprint, as a number). Texts without words (null, empty, white space) have fingerprint zero and link like any other. Null keys
     never name a component unless all in it are null; repeated keys and rows share theirs. Only ``text``
     and ``key`` are read. An empty table gives no rows.
     """
@@ -155,11 +155,21 @@ def near_duplicates(
         "print", "least", F.coalesce("label", "print").alias("label")
     )
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = named.select("print", "label").join(least, "label").select("print", "component_id")
+    found = named.select("print", "label").join(least, "label").select("print", F.col("label").alias("component"), "component_id")
     return rows.join(found, "print").select(
-        F.col("id").alias(key), hex_print(F.col("print")).alias("fingerprint"), "component_id", "text_hash",
+        F.col("id").alias(key), hex_print(F.col("print")).alias("fingerprint"), "component_id", "component", "text_hash",
     )
 
 
+def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: of each component the row with the smallest key stays, null keys last,
+    then that with the smallest hash of its text; of rows that repeat key and text any one."""
+    found = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), "body", "id", size, bits)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("best"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
+    same = F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.text_hash") == F.col("hash"))
+    return rows.join(best, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+
+
 def hex_print(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
