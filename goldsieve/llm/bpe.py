@@ -26,7 +26,7 @@ from goldsieve.llm.common import small_batches, spans
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text a task encodes at a time.
-STRETCH = 32 << 20
+STRETCH = 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -86,7 +86,7 @@ def merge_all(symbols: np.ndarray, word: np.ndarray, vocab: Vocabulary) -> tuple
     n = len(symbols)
     if n == 0:
         return symbols, word
-    after, before = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     ends = np.append(word[1:] != word[:-1], True)
     after[ends] = -1
     before[np.flatnonzero(ends)[:-1] + 1] = -1
@@ -176,7 +176,7 @@ class Stretch:
         letters = [b"\0" if isinstance(p, tuple) else p.encode("utf-8", "surrogatepass") for p in pieces]
         sizes = np.fromiter(map(len, letters), np.int64, len(letters))
         symbols = self.vocab.byte_ids[np.frombuffer(b"".join(letters), np.uint8)]
-        ids, word = merge_all(symbols, np.repeat(np.arange(len(letters)), sizes), self.vocab)
+        ids, word = merge_all(symbols, np.repeat(np.arange(len(letters), dtype=np.int32), sizes), self.vocab)
         for at, piece in enumerate(pieces):
             if isinstance(piece, tuple):
                 ids[np.searchsorted(word, at)] = self.vocab.special[piece[0]]

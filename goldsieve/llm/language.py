@@ -173,6 +173,8 @@ class Labeller:
         self.sizes = np.append(self.sizes, np.array([len(w) for w in new], np.int64))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.network.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.numbers) > REMEMBERED:
             self._reset()
         found = []
@@ -182,7 +184,7 @@ class Labeller:
         self._learn()
         out = []
         for words in found:
-            if len(words) == 0 or not self.network.languages:
+            if len(words) == 0:
                 out.append((UNKNOWN, 0.0))
                 continue
             pooled = self.sums[words].sum(axis=0, dtype=np.float64) / self.sizes[words].sum()
