@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.functions.text import percent_text
+from goldsieve.operators.upkeep import one_per_key
 from goldsieve.fixed import APPROVAL_AGREEMENT, DEFAULT_BEHAVIOR, DEFAULT_CATEGORY, REVIEW_REASON
 
 
@@ -71,8 +72,12 @@ def review_queue(scores: DataFrame) -> DataFrame:
     )
 
 
-def apply_decisions(scores: DataFrame, queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Approve or reject evals; every queue row of a decided eval becomes reviewed."""
+def apply_decisions(scores: DataFrame, queue: DataFrame, decisions: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Approve or reject evals; every queue row of a decided eval becomes reviewed.
+
+    Of several decisions on an eval the last by ``order`` (columns of ``decisions``) counts.
+    """
+    decisions = one_per_key(decisions.select("eval_id", "decision", *order), "eval_id", *order).select("eval_id", "decision")
     status = F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "reject", "rejected")
     new_scores = scores.join(decisions, "eval_id", "left").withColumn(
         "status", F.coalesce(status, F.col("status"))

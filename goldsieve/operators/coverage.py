@@ -39,15 +39,14 @@ def coverage_gaps(
     """Cells below the minimum, and listed categories that are absent altogether."""
     listed = COVERAGE_CATEGORIES if categories is None else categories
     spark = report.sparkSession
-    short = report.filter(F.col("count") < minimum).select(
-        "category", "difficulty", "count", (F.lit(minimum) - F.col("count")).cast("bigint").alias("needed")
+    wanted = spark.createDataFrame([(c,) for c in dict.fromkeys(listed)], "category string")
+    absent = F.col("count").isNull()
+    # One join instead of a union, so that the report is computed once.
+    return report.join(wanted, "category", "full_outer").filter(absent | (F.col("count") < minimum)).select(
+        "category", F.when(absent, "simple").otherwise(F.col("difficulty")).alias("difficulty"),
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+        (F.lit(minimum) - F.coalesce("count", F.lit(0))).cast("bigint").alias("needed"),
     )
-    wanted = spark.createDataFrame([(c,) for c in listed], "category string")
-    absent = wanted.join(report.select("category").distinct(), "category", "left_anti").select(
-        "category", F.lit("simple").alias("difficulty"), F.lit(0).cast("bigint").alias("count"),
-        F.lit(minimum).cast("bigint").alias("needed"),
-    )
-    return short.unionByName(absent)
 
 
 def gap_quota(gaps: DataFrame, overdraw: int = OVERDRAW) -> DataFrame:
@@ -55,13 +54,14 @@ def gap_quota(gaps: DataFrame, overdraw: int = OVERDRAW) -> DataFrame:
     return gaps.withColumn("quota", F.col("needed") * overdraw)
 
 
-def top_up(quotas: DataFrame, pool: DataFrame, seed: int = 42, salts: int = 64) -> DataFrame:
+def top_up(quotas: DataFrame, pool: DataFrame, seed: int = 42, salts: int | None = None) -> DataFrame:
     """Up to the quota of logs per category, picked by a repeatable hash order.
 
     The ranking runs twice: within hashed slices of a category first, so that a category holding a large
-    share of the pool is spread over many tasks, then over the few survivors of each slice. The quota is
+    share of the pool is spread over as many tasks as a shuffle has, then over the few survivors of each slice. The quota is
     joined on category and slice, so the pool is never shuffled by category alone.
     """
+    salts = salts or int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = quotas.groupBy("category").agg(F.sum("quota").alias("quota")).withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )

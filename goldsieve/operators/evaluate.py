@@ -65,8 +65,12 @@ def check_assertions(responses: DataFrame) -> DataFrame:
     )
 
 
-def apply_pass_rule(scored: DataFrame, minimum: int = PASS_SCORE) -> DataFrame:
-    """A case passes with a high score and both assertion checks; the judge's own verdict does not decide."""
+def apply_pass_rule(scored: DataFrame, minimum: int = PASS_SCORE, verdict: str = "rule") -> DataFrame:
+    """A case passes with a high score and both assertion checks, or with ``verdict="judge"`` when the judge says so."""
+    if verdict not in ("rule", "judge"):
+        raise ValueError(f"verdict is {verdict!r}, not rule or judge")
+    if verdict == "judge":
+        return scored.withColumn("passed", F.coalesce("judge_passed", F.lit(False)))
     rule = (F.col("score") >= minimum) & F.col("must_contain_pass") & F.col("must_not_contain_pass")
     return scored.withColumn("passed", F.coalesce(rule, F.lit(False)))
 

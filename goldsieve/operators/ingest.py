@@ -15,8 +15,16 @@ def new_logs(raw: DataFrame, known_ids: DataFrame) -> DataFrame:
 
 
 def distinct_logs(logs: DataFrame) -> DataFrame:
-    """One row per id; equal copies of an id collapse before the shuffle."""
-    return logs.dropDuplicates(["id"])
+    """One row per id, the same in every run: the earliest, then that with the smallest hash of the whole row.
+
+    The choice is made on narrow rows that combine on the map side; the texts of the chosen rows move once.
+    """
+    time = ["log_ts"] if "log_ts" in logs.columns else []
+    place = F.struct(*time, F.xxhash64(*logs.columns).alias("hash"))
+    marked = logs.withColumn("_place", place)
+    first = marked.groupBy("id").agg(F.min("_place").alias("_first"))
+    chosen = marked.join(first, "id").filter(F.col("_place").eqNullSafe(F.col("_first")))
+    return chosen.drop("_place", "_first").dropDuplicates(["id"])
 
 
 def redact(logs: DataFrame, columns: tuple[str, ...] = ("user_prompt", "model_response")) -> DataFrame:

@@ -24,36 +24,48 @@ from goldsieve.functions.loose_json import (
 Answerer = Callable[[list[str]], list[str | None]]
 
 
+TASK_ROWS = 256
+
+
+def tasks_for(frame: DataFrame) -> int:
+    """Tasks for rows that are slow to answer: as many as there are cores, more when a task would hold many rows."""
+    return max(frame.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // TASK_ROWS))
+
+
 def infer(
     frame: DataFrame, text: str, answer: str, make: Callable[[], Answerer], partitions: int | None = None,
-    error_prefix: str | None = None,
+    error_prefix: str | None = None, error: str | None = None,
 ) -> DataFrame:
     """Add column ``answer`` by running an injected model over column ``text``, batch by batch.
 
     ``make`` is called once per task, so a model loads once and serves every batch of the task.
     ``partitions`` bounds how many tasks call out at a time. When a batch raises, its texts are asked one
-    by one, and only those that raise again get NULL, or ``[<error_prefix>: ...]`` when a prefix is given.
+    by one, and only those that raise again get NULL, or ``[<error_prefix>: ...]`` when a prefix is given. ``error`` names
+    a further column for the text of what was raised.
     """
-    schema = T.StructType(frame.schema.fields + [T.StructField(answer, T.StringType())])
+    names = [answer] + ([error] if error else [])
+    schema = T.StructType(frame.schema.fields + [T.StructField(n, T.StringType()) for n in names])
 
-    def one_by_one(ask: Answerer, texts: list[str]) -> list[str | None]:
-        answers = []
+    def one_by_one(ask: Answerer, texts: list[str]) -> tuple[list[str | None], list[str | None]]:
+        answers, errors = [], []
         for item in texts:
             try:
                 answers += ask([item])
-            except Exception as error:  # the model is foreign code; its failure is data here
-                answers.append(f"[{error_prefix}: {error}]" if error_prefix else None)
-        return answers
+                errors.append(None)
+            except Exception as raised:  # the model is foreign code; its failure is data here
+                answers.append(f"[{error_prefix}: {raised}]" if error_prefix else None)
+                errors.append(str(raised) or type(raised).__name__)
+        return answers, errors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()
         for batch in batches:
             texts = batch[text].tolist()
             try:
-                answers = ask(texts)
+                given = ask(texts), [None] * len(texts)
             except Exception:
-                answers = one_by_one(ask, texts)
-            yield batch.assign(**{answer: pd.Series(answers, index=batch.index, dtype="object")})
+                given = one_by_one(ask, texts)
+            yield batch.assign(**{n: pd.Series(v, index=batch.index, dtype="object") for n, v in zip(names, given)})
 
     spread = frame if partitions is None else frame.repartition(partitions)
     return spread.mapInPandas(run, schema)
@@ -222,9 +234,13 @@ def normalize_vote(frame: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def normalize_score(frame: DataFrame, raw: str = "raw", failure: str = "No score returned") -> DataFrame:
-    """Score and the three booleans with their defaults; a failed answer becomes a failing row of score 3."""
+def normalize_score(frame: DataFrame, raw: str = "raw", failure: str = "No score returned", error: str | None = None) -> DataFrame:
+    """Score and the three booleans with their defaults; a failed answer becomes a failing row of score 3.
+
+    Its reason is the text in column ``error`` where there is one, else ``failure``.
+    """
     failed = F.col("_doc").isNull()
+    reason = F.coalesce(F.col(error), F.lit(failure)) if error else F.lit(failure)
 
     def flag(key: str, default: bool) -> Column:
         return F.when(failed, F.lit(False)).otherwise(pick_bool(key, default))
@@ -236,5 +252,5 @@ def normalize_score(frame: DataFrame, raw: str = "raw", failure: str = "No score
         flag("passed", False).alias("judge_passed"),
         flag("must_contain_pass", False).alias("must_contain_pass"),
         flag("must_not_contain_pass", True).alias("must_not_contain_pass"),
-        F.when(failed, failure).otherwise(pick_text(["reasoning"], "")).alias("reasoning"),
+        F.when(failed, reason).otherwise(pick_text(["reasoning"], "")).alias("reasoning"),
     )

@@ -13,11 +13,11 @@ def to_cluster(normalized: DataFrame) -> DataFrame:
     return normalized.filter((F.col("is_sampled") == 1) & F.col("cluster_id").isNull())
 
 
-def to_label(normalized: DataFrame, evals: DataFrame) -> DataFrame:
-    """Novel or badly received logs without a label; sampling plays no part here."""
+def to_label(normalized: DataFrame, evals: DataFrame, *keep: str) -> DataFrame:
+    """Novel or badly received logs without a label (``id`` and ``keep``, both texts by default); sampling plays no part here."""
     signal = (F.col("cluster_id") == NOISE) | F.col("user_feedback").isin(NEGATIVE_FEEDBACK)
     labeled = evals.select(F.col("interaction_id").alias("id"))
-    return normalized.filter(signal).select("id", "user_prompt", "model_response").join(labeled, "id", "left_anti")
+    return normalized.filter(signal).select("id", *(keep or ("user_prompt", "model_response"))).join(labeled, "id", "left_anti")
 
 
 def with_interaction(evals: DataFrame, interactions: DataFrame, columns: list[str]) -> DataFrame:

@@ -327,16 +327,17 @@ def review_queue(t):
 
 @query(
     "upsert_latest",
-    f"""WITH {_MAJORITY} SELECT eval_id, num_runs, agreement_ratio, majority_category, majority_behavior,
-        CASE WHEN agreement_ratio >= 0.65 THEN 'approved' ELSE 'needs_review' END AS status FROM maj
+    f"""WITH {_MAJORITY} SELECT eval_id, CASE WHEN agreement_ratio >= 0.65 THEN num_runs * 2 ELSE num_runs END AS num_runs, agreement_ratio,
+        majority_category, majority_behavior, CASE WHEN agreement_ratio >= 0.65 THEN 'approved' ELSE 'needs_review' END AS status FROM maj
         WHERE eval_id IN (SELECT candidate_eval_id FROM dedup_log)
         UNION ALL SELECT eval_id, num_runs, agreement_ratio, majority_category, majority_behavior, status FROM confidence_scores
         WHERE eval_id NOT IN (SELECT candidate_eval_id FROM dedup_log)""",
 )
 def upsert_latest(t):
     rerun = t.dedup_log.select(F.col("candidate_eval_id").alias("eval_id"))
-    fresh = confidence.with_status(confidence.majority(t.judge_votes.join(rerun, "eval_id", "left_semi")))
-    return upkeep.upsert(t.confidence_scores, fresh, "eval_id")
+    fresh = confidence.with_status(confidence.majority(t.judge_votes.join(rerun, "eval_id", "left_semi"))).withColumn("attempt", F.lit(1))
+    again = fresh.filter("status = 'approved'").withColumn("num_runs", F.col("num_runs") * 2).withColumn("attempt", F.lit(2))
+    return upkeep.upsert(t.confidence_scores, again.unionByName(fresh), "eval_id", "attempt").drop("attempt")
 
 
 @query(
@@ -347,17 +348,22 @@ def upsert_latest(t):
 def insert_if_absent(t):
     runs = t.eval_runs
     stored = runs.filter(F.col("completed_at").isNotNull()).select("run_id", "model_name")
-    return upkeep.insert_if_absent(stored, runs.select("run_id", F.lit("model_b").alias("model_name")), "run_id")
+    twice = runs.select("run_id", F.explode(F.array(F.lit("model_c"), F.lit("model_b"))).alias("model_name"))
+    twice = twice.withColumn("attempt", F.when(F.col("model_name") == "model_b", 1).otherwise(2))
+    return upkeep.insert_if_absent(stored, twice, "run_id", "attempt").drop("attempt")
 
 
 @query(
     "keyed_update",
-    """SELECT e.eval_id, e.interaction_id, e.category, e.difficulty, e.quality_score, n.manual_notes
+    """SELECT e.eval_id, e.interaction_id, e.category, e.difficulty, e.quality_score,
+       CASE n.manual_notes WHEN 'looks fine' THEN 'read again' ELSE n.manual_notes END AS manual_notes
        FROM eval_dataset e LEFT JOIN review_notes n ON n.eval_id = e.eval_id""",
 )
 def keyed_update(t):
     with_notes = upkeep.add_missing_column(t.eval_dataset, "manual_notes", "string")
-    return upkeep.keyed_update(with_notes, t.review_notes, "eval_id")
+    first = t.review_notes.withColumn("at", F.lit(1))
+    second = first.filter("manual_notes = 'looks fine'").withColumns({"manual_notes": F.lit("read again"), "at": F.lit(2)})
+    return upkeep.keyed_update(with_notes, second.unionByName(first), "eval_id", "at")
 
 
 @query(
@@ -389,7 +395,9 @@ def assign_eval_ids(t):
        FROM confidence_scores c LEFT JOIN review_decisions d ON d.eval_id = c.eval_id LEFT JOIN human_review_queue q ON q.eval_id = c.eval_id""",
 )
 def apply_review_decisions(t):
-    scores, queue = confidence.apply_decisions(t.confidence_scores, t.human_review_queue, t.review_decisions)
+    final = t.review_decisions.withColumn("at", F.lit(2))
+    taken_back = final.withColumns({"decision": F.when(F.col("decision") == "approve", "reject").otherwise("approve"), "at": F.lit(1)})
+    scores, queue = confidence.apply_decisions(t.confidence_scores, t.human_review_queue, final.unionByName(taken_back), "at")
     return scores.select("eval_id", "status").join(queue.select("eval_id", "reviewed"), "eval_id", "left")
 
 

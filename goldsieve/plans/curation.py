@@ -32,11 +32,11 @@ class Models:
     voter: Maker
     label_source: str = "judge"
     encoder: Callable | None = None
-    partitions: int | None = None  # tasks that ask models; as many as there are cores by default
+    encoder_name: str = "tokens"  # vectors are kept under this name; another encoder needs another
+    partitions: int | None = None  # tasks that ask models; by default at least one a core, more with more rows
 
     def spread(self, frame: DataFrame) -> int:
-        """Small inputs are merged into few tasks by size; answering is slow, so they are spread again."""
-        return self.partitions or frame.sparkSession.sparkContext.defaultParallelism
+        return self.partitions or judge.tasks_for(frame)
 
 
 def _vectors(frame: DataFrame, models: Models) -> DataFrame:
@@ -64,13 +64,17 @@ def ingest_batch(
     if ids_keep_time:
         span = raw.agg(F.min("log_ts").alias("low"), F.max("log_ts").alias("high")).first()
         known = known.filter(F.col("log_ts").between(F.lit(span.low), F.lit(span.high)))
-    fresh = ingest.ingest(ingest.distinct_logs(raw), known.select("id"), fraction, seed)
+    # Known ids go first, on narrow rows; only what is new is told apart and moved with its texts.
+    unseen = raw.join(ingest.new_logs(raw.select("id"), known).distinct(), "id", "left_semi")
+    fresh = ingest.normalize(ingest.redact(ingest.mark_sampled(ingest.with_priority(ingest.distinct_logs(unseen)), fraction, seed)))
     tables.put_part("normalized_logs", fresh, batch)
 
 
 def cluster_batch(tables: Tables, models: Models, batch: str, radius: float | None = None) -> None:
     """Cluster the sampled logs that have no cluster; ids are unique over batches by their batch."""
-    todo = pending.to_cluster(tables.logs()).select("id", "user_prompt", stable_id(F.col("id")).alias("item_id"))
+    sampled = tables.read("normalized_logs").filter("is_sampled = 1").select("id", "ingest_batch")
+    ids = cut_lineage(sampled.join(tables.read("cluster_assignments").select("id"), "id", "left_anti"))
+    todo = tables.with_texts(ids, "user_prompt").withColumn("item_id", stable_id(F.col("id")))
     vectors = cut_lineage(_vectors(todo, models))
     labels = cluster.density_clusters(vectors.drop("id"), radius)
     named = vectors.select("id", "item_id").join(labels, "item_id")
@@ -79,7 +83,10 @@ def cluster_batch(tables: Tables, models: Models, batch: str, radius: float | No
 
 def label_batch(tables: Tables, models: Models, also: DataFrame | None = None) -> None:
     """Judge novel and badly received logs, and the logs of ``also`` (``id``); failures are kept as fallback labels."""
-    todo = pending.to_label(tables.logs(), tables.read("eval_dataset"))
+    signals = tables.read("normalized_logs").select("id", "ingest_batch", "user_feedback")
+    clustered = signals.join(tables.read("cluster_assignments").select("id", "cluster_id"), "id", "left")
+    ids = cut_lineage(pending.to_label(clustered, tables.read("eval_dataset"), "ingest_batch").dropDuplicates(["id"]))
+    todo = tables.with_texts(ids, "user_prompt", "model_response")
     if also is not None:
         labeled = tables.read("eval_dataset").select(F.col("interaction_id").alias("id"))
         more = tables.read("normalized_logs").select("id", "user_prompt", "model_response").join(also.select("id"), "id", "left_semi")
@@ -108,12 +115,24 @@ def route_batch(tables: Tables, models: Models, runs: int = VOTE_RUNS) -> None:
     tables.append("confidence_scores", scores)
 
 
+def store_vectors(tables: Tables, models: Models) -> DataFrame:
+    """Vectors of all approved evals; each is encoded once and kept for later batches, by eval and encoder."""
+    approved = tables.scores().filter("status = 'approved'").select("eval_id")
+    kept = tables.read("eval_vectors").filter(F.col("encoder") == models.encoder_name)
+    lacking = approved.join(kept.select("eval_id"), "eval_id", "left_anti")
+    texts = pending.with_interaction(
+        tables.read("eval_dataset").select("eval_id", "interaction_id").join(lacking, "eval_id"), tables.read("normalized_logs"), ["user_prompt"]
+    )
+    fresh = _vectors(texts.select("eval_id", "user_prompt"), models).withColumn("encoder", F.lit(models.encoder_name))
+    tables.append("eval_vectors", fresh)
+    stored = tables.read("eval_vectors").filter(F.col("encoder") == models.encoder_name)
+    return stored.join(approved, "eval_id", "left_semi").drop("encoder", "created_at").dropDuplicates(["eval_id"])
+
+
 def dedup_batch(tables: Tables, models: Models, floor: float | None = None) -> None:
     """Decide on approved evals not checked yet, against all approved ones; then refresh coverage."""
-    evals, scores, logs = tables.read("eval_dataset"), tables.scores(), tables.read("normalized_logs")
-    seen = tables.read("dedup_log").select(F.col("candidate_eval_id").alias("eval_id"), F.lit(True).alias("_seen"))
-    pool = pending.approved(evals, scores, logs).join(seen, "eval_id", "left").withColumn("ask", F.col("_seen").isNull())
-    vectors = _vectors(pool.drop("_seen"), models)
+    seen = tables.read("dedup_log").select(F.col("candidate_eval_id").alias("eval_id"), F.lit(True).alias("_seen")).distinct()
+    vectors = store_vectors(tables, models).join(seen, "eval_id", "left").withColumn("ask", F.col("_seen").isNull()).drop("_seen")
     matches = dedup.best_match(vectors, floor)
     tables.append("dedup_log", dedup.decide(matches, whole_counts=models.encoder is None))
     refresh_coverage(tables)
@@ -125,12 +144,12 @@ def refresh_coverage(tables: Tables) -> None:
     tables.replace("coverage_report", report)
 
 
-def review(tables: Tables, decisions: DataFrame) -> None:
-    """Append the outcome of reviewers' decisions (``eval_id, decision``)."""
-    decided = decisions.select("eval_id", "decision")
-    hit = decided.select("eval_id")
+def review(tables: Tables, decisions: DataFrame, *order: str) -> None:
+    """Append the outcome of reviewers' decisions (``eval_id, decision``); of several on an eval the last by ``order`` counts."""
+    decided = decisions.select("eval_id", "decision", *order)
+    hit = decided.select("eval_id").distinct()
     scores, queue = confidence.apply_decisions(
-        tables.scores().join(hit, "eval_id", "left_semi"), tables.queue().join(hit, "eval_id", "left_semi"), decided
+        tables.scores().join(hit, "eval_id", "left_semi"), tables.queue().join(hit, "eval_id", "left_semi"), decided, *order
     )
     tables.append("confidence_scores", scores.drop("created_at"))
     tables.append("human_review_queue", queue.drop("created_at"))
@@ -154,7 +173,7 @@ def run_curation(
     """All stages once, for one batch of raw logs.
 
     ``radius`` limits how far apart clustered prompts may be, ``floor`` how similar a match must be to be
-    looked for; both make large batches far cheaper.
+    looked for. How much work they save depends on the data: texts that resemble nothing meet nearly every block.
 
     ``pool`` (``id, category``) names stored logs that may fill thin cells of the last coverage report.
     """

@@ -17,12 +17,14 @@ from goldsieve.sources.tables import Tables
 def run_evaluation(
     tables: Tables, model: Maker, scorer: Maker, model_name: str, model_type: str = "injected",
     run_id: str | None = None, limit: int | None = None, assertions: str = "literal", partitions: int | None = None,
+    verdict: str = "rule", system_prompt: str | None = None,
 ) -> str | None:
     """Ask the model, score its answers, store results and the run's summary.
 
     Returns the run id, or None when there is no case to evaluate.
 
-    ``assertions`` is 'literal' (texts contained or not) or 'judge' (the scorer's own two flags).
+    ``assertions`` is 'literal' (texts contained or not) or 'judge' (the scorer's own two flags); ``verdict`` is 'rule' or 'judge'
+    (the scorer's own pass flag). The model gets ``system_prompt``, when there is one, and a blank line before each prompt.
     """
     run_id = run_id or f"run_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}"
     if not tables.read("eval_runs").filter((F.col("run_id") == run_id) & F.col("completed_at").isNotNull()).isEmpty():
@@ -43,17 +45,20 @@ def run_evaluation(
     start = cut_lineage(start)
     tables.append("eval_runs", start)
 
-    answered = cut_lineage(judge.infer(cases, "user_prompt", "model_response", model, partitions, MODEL_ERROR))
+    tasks = partitions or judge.tasks_for(cases)
+    prompt = F.col("user_prompt") if system_prompt is None else F.concat(F.lit(system_prompt + "\n\n"), "user_prompt")
+    put = cases.withColumn("_prompt", prompt)
+    answered = cut_lineage(judge.infer(put, "_prompt", "model_response", model, tasks, MODEL_ERROR).drop("_prompt"))
     message = judge.score_message(
         F.col("user_prompt"), judge.reference_text(F.col("golden_answer"), F.col("rubric_score_5")),
         F.col("model_response"), F.col("must_contain"), F.col("must_not_contain"), F.col("expected_behavior"),
     )
     asked = answered.withColumn("message", message).drop("user_prompt", "golden_answer", "rubric_score_5")
-    raw = cut_lineage(judge.infer(asked, "message", "raw", scorer, partitions).drop("message"))
-    scored = judge.normalize_score(raw)
+    raw = cut_lineage(judge.infer(asked, "message", "raw", scorer, tasks, error="error").drop("message"))
+    scored = judge.normalize_score(raw, error="error").drop("error")
     if assertions == "literal":
         scored = evaluate.check_assertions(scored)
-    results = evaluate.apply_pass_rule(scored).withColumn("eval_case_id", F.col("eval_id"))
+    results = evaluate.apply_pass_rule(scored, verdict=verdict).withColumn("eval_case_id", F.col("eval_id"))
     tables.put_part("eval_results", results, run_id)
 
     summary = evaluate.run_summary(regress.results_of(tables.read("eval_results"), run_id))

@@ -37,6 +37,10 @@ TABLES: dict[str, str] = {
         "candidate_eval_id bigint, duplicate_of_eval_id bigint, similarity_score double, action string, "
         "created_at timestamp"
     ),
+    "eval_vectors": (
+        "eval_id bigint, encoder string, terms array<bigint>, weights array<double>, norm2 double, fingerprint string, "
+        "created_at timestamp"
+    ),
     "coverage_report": (
         "category string, difficulty string, count bigint, avg_confidence double, updated_at timestamp"
     ),

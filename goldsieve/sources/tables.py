@@ -7,7 +7,7 @@ updated rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from goldsieve.operators.upkeep import latest_per_key
@@ -64,11 +64,15 @@ class Tables:
         writer.parquet(self.path(name))
 
     def put_part(self, name: str, rows: DataFrame, part: str) -> None:
-        """Write one folder of a split table; doing it again replaces that folder only."""
-        shaped = self._shape(name, rows.withColumn(LAYOUT[name], F.lit(part)))
+        """Write one folder of a split table; doing it again replaces that folder only, also by nothing."""
+        written = Observation()
+        shaped = self._shape(name, rows.withColumn(LAYOUT[name], F.lit(part))).observe(written, F.count(F.lit(1)).alias("n"))
         shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(LAYOUT[name]).parquet(
             self.path(name)
         )
+        if not written.get["n"] and self.exists(name):  # no row, no folder: the old one would stay
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{LAYOUT[name]}={part}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Replace all rows, also by none. ``rows`` must not read the same table."""
@@ -95,6 +99,12 @@ class Tables:
         clusters = self.read("cluster_assignments").select("id", "cluster_id", "batch_id")
         return self.read("normalized_logs").join(clusters, "id", "left")
 
+    def with_texts(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """``ids`` (``id, ingest_batch``, stored) with columns of their logs; only the batches that occur are read."""
+        batches = [r[0] for r in ids.select("ingest_batch").distinct().collect()]  # one short name a batch
+        logs = self.read("normalized_logs").filter(F.col("ingest_batch").isin(batches))
+        return logs.select("id", *columns).join(ids.select("id"), "id", "left_semi")
+
     def evals(self) -> DataFrame:
         """Evals with the newest reviewer note."""
         notes = latest_per_key(self.read("reviewer_notes"), "eval_id", "noted_at").select("eval_id", "manual_notes")

@@ -16,7 +16,7 @@ BASE_TABLES = [
     "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-SPREAD_BYTES = 1 << 20  # smaller files are not worth a shuffle
+SPREAD = "spark.goldsieve.spreadInputs"
 
 VIEWS: dict[str, str] = {
     "raw_logs": """
@@ -187,16 +187,13 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """One table. A file that splits into fewer tasks than there are cores is spread over them."""
-        path = f"{self.folder}/{name}.parquet"
-        frame = self.spark.read.parquet(path)
-        context = self.spark.sparkContext
-        location = context._jvm.org.apache.hadoop.fs.Path(path)
-        size = location.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(location).getLength()
-        cores = context.defaultParallelism
-        if size < SPREAD_BYTES or frame.rdd.getNumPartitions() >= cores:
-            return frame
-        return frame.repartition(cores)
+        """One table as it is stored, or dealt out to as many tasks as the session's ``SPREAD`` setting says.
+
+        The setting is for single files with one row group, which Spark cannot split; it is off by default.
+        """
+        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        tasks = self.spark.conf.get(SPREAD, None)
+        return frame.repartition(int(tasks)) if tasks and name not in ("region", "nation", "labels", "benchmark") else frame
 
     def sql(self, text: str) -> DataFrame:
         parts, tables = [], {}
