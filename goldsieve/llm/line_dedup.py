@@ -5,8 +5,8 @@ when the right word is deleted from one or both, so the variants of a line witho
 keys, and equal keys join. What meets is verified on the words, and the earlier line stays. No Python runs.
 
 Only lines that can have a partner emit variants: within one edit, either the first or the second half of the words
-is equal, so halves are counted first. A Bloom filter of fixed size keeps other lines out of the
-exchange that brings the words of those lines together.
+is equal, so halves are counted first. Before every later join a Bloom filter of fixed size keeps rows without a partner
+out of the exchange; what it lets through by chance the join drops, so results do not depend on it.
 """
 
 from __future__ import annotations
@@ -14,12 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import WORD, stored, text_of
+from goldsieve.llm.common import stored, text_of
 
 #: Lines of fewer words must match exactly to be duplicates.
 LEAST_WORDS = 10
-#: Bits of the filter; it holds one row for 64 of them at most, whatever the input.
+#: Bits of a filter; it holds one row for 64 of them at most, whatever the input.
 FILTER_BITS = 1 << 24
+SPACES = "\t\x0b\x0c\r"
+
+
+def _plain(line: Column) -> Column:
+    return F.translate(line, SPACES, " " * len(SPACES))
 
 
 def _without(words: Column, i: Column) -> Column:
@@ -39,50 +44,52 @@ def _halves(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``place`` (key, hash of the text, number of the line), ``words`` and ``line`` of every line with a word."""
+    """``place`` (key, hash of the text, number of the line) and ``body`` of every line."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.posexplode(F.split(text_of(F.col(text)), "\n")).alias("at", "body"))
-    words = F.regexp_extract_all("body", F.lit(f"({WORD})"), F.lit(1))
-    split = rows.select(F.struct("id", "hash", "at").alias("place"), words.alias("words")).filter(F.size("words") > 0)
-    return split.withColumn("line", F.unhex(F.md5(F.array_join("words", " ").cast("binary"))))
+    return rows.select(F.struct("id", "hash", "at").alias("place"), "body")
+
 
+def _words(lines: DataFrame) -> DataFrame:
+    """``place, words`` of the lines that have a word."""
+    words = F.array_remove(F.split(_plain(F.col("body")), " "), "")
+    return lines.select("place", words.alias("words")).filter(F.size("words") > 0)
 
-def _with_partner(distinct: DataFrame) -> DataFrame:
-    """Lines (``line, first``) that share half of their words with another line."""
-    keys = distinct.filter("halves is not null").select("line", "first", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    return keys.join(shared, "half", "left_semi").select("line", "first").distinct()
 
+def _filtered(rows: DataFrame, column: str, wanted: DataFrame, of: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is in no row of ``wanted``; all that are remain."""
 
-def _filtered(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``lines`` that may be the first place of a wanted line; all that are remain."""
-    def bit(frame: DataFrame, place: str) -> DataFrame:
-        spot = F.pmod(F.xxhash64(F.col(place)), F.lit(FILTER_BITS))
-        return frame.withColumn("_cell", F.shiftright(spot, 6)).withColumn(
-            "_bit", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
-        )
+    def bit(frame: DataFrame, name: str) -> DataFrame:
+        spot = F.pmod(F.xxhash64(F.col(name)), F.lit(FILTER_BITS))
+        return frame.withColumns({
+            "_cell": F.shiftright(spot, 6), "_bit": F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
+        })
 
-    cells = bit(wanted, "first").groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
-    return bit(lines, "place").join(F.broadcast(cells), "_cell").filter("_bits & _bit <> 0").drop("_cell", "_bit", "_bits")
+    cells = bit(wanted, of).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
+    return bit(rows, column).join(F.broadcast(cells), "_cell").filter("_bits & _bit <> 0").drop("_cell", "_bit", "_bits")
+
+
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """``tag``: hashes of the lines that share half of their words with a different line."""
+    keys = rows.filter("halves is not null").select(F.xxhash64("line").alias("tag"), F.explode("halves").alias("half"))
+    ends = keys.groupBy("half").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
+    shared = stored(ends.filter("low <> high").select("half"), "halves")
+    return _filtered(keys, "half", shared, "half").join(shared, "half", "left_semi").select("tag").distinct()
 
 
 def _earlier(partners: DataFrame) -> DataFrame:
-    """``place, earlier``: candidates for the earliest line within one edit of each, by equal variants."""
+    """``number, earlier``: candidates for the earliest line within one edit of each, by equal variants."""
     each = F.sequence(F.lit(0), F.size("words") - 1)
-    variants = F.concat(
-        F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64("words").alias("key"))),
-        F.transform(each, lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("words"), i)).alias("key"))),
-    )
-    keys = stored(partners.select("place", F.explode(variants).alias("v")).select("place", "v.key", "v.i"), "variants")
-    groups = keys.groupBy("key", "i").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
-    groups = stored(groups, "variant-groups")
+    variants = F.transform(each, lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("words"), i)).alias("key")))
+    parts = stored(partners.select("number", F.explode(variants).alias("v")).select("number", "v.key", "v.i"), "variants")
     # one word replaced: both without the same word
-    replaced = keys.filter("i >= 0").join(groups.filter("i >= 0 and n > 1").drop("n"), ["key", "i"]).select("place", "least")
-    # one word more or less: a line, and others without any one of their words
-    whole, parts = groups.filter("i < 0"), groups.filter("i >= 0").groupBy("key").agg(F.min("least").alias("least"))
-    longer = keys.filter("i >= 0").join(whole.select("key", "least"), "key").select("place", "least")
-    shorter = keys.filter("i < 0").join(parts, "key").select("place", "least")
-    met = replaced.union(longer).union(shorter).filter("least < place")
-    return met.groupBy("place").agg(F.min("least").alias("earlier"))
+    groups = parts.groupBy("key", "i").agg(F.min("number").alias("least"), F.count(F.lit(1)).alias("n"))
+    groups = stored(groups.filter("n > 1").drop("n"), "variant-groups")
+    replaced = _filtered(parts, "key", groups, "key").join(groups, ["key", "i"]).select("number", F.col("least").alias("other"))
+    # one word more or less: a line, and others without any one of their words; a key belongs to one line at most
+    whole = partners.select(F.xxhash64("words").alias("key"), F.col("number").alias("other"))
+    inserted = _filtered(parts, "key", whole, "key").join(whole, "key").select("number", "other")
+    met = replaced.union(inserted).select(F.greatest("number", "other").alias("number"), F.least("number", "other").alias("other"))
+    return met.filter("number <> other").groupBy("number").agg(F.min("other").alias("earlier"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -100,22 +107,29 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     or lies within one edit of the words of the first such line and both have ``least_words`` words or more.
     """
     fuzzy = F.size("words") >= least_words
-    rows = stored(_lines(docs, text, key).select("place", "line", F.when(fuzzy, _halves(F.col("words"))).alias("halves")), "lines")
-    distinct = stored(rows.groupBy("line").agg(
-        F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")
-    ), "distinct-lines")
-    wanted = stored(_with_partner(distinct), "partners")
-    candidates = _filtered(_lines(docs, text, key).filter(fuzzy).select("place", "words"), wanted)
-    partners = stored(candidates.join(wanted.select(F.col("first").alias("place")), "place", "left_semi").dropDuplicates(["place"]), "words")
+    digest = F.unhex(F.md5(F.array_join("words", " ").cast("binary")))
+    rows = stored(_words(_lines(docs, text, key)).select(
+        "place", digest.alias("line"), F.when(fuzzy, _halves(F.col("words"))).alias("halves")
+    ), "lines")
+    firsts = stored(rows.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")), "first-lines")
+
+    tags = stored(_with_partner(rows), "tags")
+    tagged = _filtered(firsts.select("place", "line", F.xxhash64("line").alias("tag")), "tag", tags, "tag")
+    wanted = stored(tagged.join(tags, "tag", "left_semi").select("place", "line"), "partners")
+    texts = _words(_filtered(_lines(docs, text, key), "place", wanted, "place")).filter(fuzzy)
+    # After a sort the ids rise with the place, so they stand for it in the variants.
+    named = texts.join(wanted, "place").dropDuplicates(["place"]).orderBy("place").withColumn("number", F.monotonically_increasing_id())
+    partners = stored(named.select("number", "line", "words"), "words")
     pairs = _earlier(partners)
-    near = (
-        pairs.join(partners, "place")
-        .join(partners.select(F.col("place").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
+    close = (
+        pairs.join(partners, "number")
+        .join(partners.select(F.col("number").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
         .filter(within_one_edit(F.col("words"), F.col("earlier_words")))
-        .select(F.col("place").alias("first"), F.lit(True).alias("near"))
+        .select("line", F.lit(True).alias("near"))
     )
-    judged = distinct.join(near, "first", "left").filter("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = rows.select("place", "line").join(judged, "line").filter("near or place <> first")
+    repeated = firsts.filter("n > 1").select("line", F.col("place").alias("first"))
+    judged = stored(repeated.join(close, "line", "full_outer"), "judged")
+    gone = _filtered(rows.select("place", "line"), "line", judged, "line").join(judged, "line").filter("near or place <> first")
     return gone.groupBy(F.col("place.id").alias("id"), F.col("place.hash").alias("hash")).agg(F.collect_set("place.at").alias("drops"))
 
 
@@ -136,7 +150,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least_
     )
     lines = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drops", i)), "\n")
-    has_word = F.size(F.filter(F.split(text_of(F.col(text)), "\n"), lambda x: x.rlike(WORD))).cast("bigint")
+    has_word = F.size(F.filter(F.split(text_of(F.col(text)), "\n"), lambda x: F.trim(_plain(x)) != "")).cast("bigint")
     return joined.select(
         *(F.when(F.col("_drops").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in names),
         has_word.alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint").alias("n_dropped"),

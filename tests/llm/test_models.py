@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from goldsieve.llm.language import LONGEST, Labeller, Network, identify_languages, pieces, train_language_model
 from goldsieve.llm.quality_model import DIMS, ROWS, Tokens, count_contexts, fit_classifier, index_vectors, pool, score_quality, token_vectors
