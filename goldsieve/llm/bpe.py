@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import small_batches, spans
+from goldsieve.llm.common import small_batches, spans, with_small_batches
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -237,7 +237,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: tuple[str,
         if waiting:
             yield from flush(waiting, stretch)
 
-    return rows.mapInArrow(run, _schema(rows, names, "ids binary"))
+    return with_small_batches(rows).mapInArrow(run, _schema(rows, names, "ids binary"))
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -251,4 +251,4 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str
             texts = [decode_ids(np.frombuffer(x or b"", "<u4").astype(np.int64), vocab) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
-    return rows.mapInArrow(run, _schema(rows, names, "text string"))
+    return with_small_batches(rows).mapInArrow(run, _schema(rows, names, "text string"))

@@ -34,6 +34,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+#: Rows of whole texts in an Arrow batch; Spark's own default would put hundreds of MB of long texts into one.
+BATCH_ROWS = 1000
+
+
+def with_small_batches(frame: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches hold at most ``BATCH_ROWS`` rows from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(frame.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        frame.sparkSession.conf.set(name, BATCH_ROWS)
+    return frame
+
+
 def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import held_out, small_batches
+from goldsieve.llm.common import held_out, small_batches, with_small_batches
 
 #: Most training documents per language, and words (evenly spaced over the whole text) taken from each.
 DOCS, WORDS = 800, 100
@@ -212,7 +212,7 @@ def training_words(docs: DataFrame, text: str, key: str, lang: str, docs_per_lan
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(taken, pa.list_(pa.string()))], ["lang", "place", "words"])
 
     sampled = chosen.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("place"), F.col(text).alias("text"))
-    got = sampled.mapInArrow(run, "lang string, place bigint, words array<string>").collect()
+    got = with_small_batches(sampled).mapInArrow(run, "lang string, place bigint, words array<string>").collect()
     out: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
     for r in sorted(got, key=lambda r: (r.lang, r.place, r.words)):
         out[r.lang] += [w.encode("utf-8") for w in r.words]
@@ -256,5 +256,5 @@ def identify_languages(
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in ("id", "held_out", *names))
-    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    out = with_small_batches(rows).mapInArrow(run, f"{schema}, lang_pred string, score double")
     return out.select(F.col("id").alias(key), "held_out", "lang_pred", "score", *(F.col(n).alias(c) for n, c in zip(names, carry)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import held_out, small_batches, stored
+from goldsieve.llm.common import held_out, small_batches, stored, with_small_batches
 
 #: Rows of the table of token vectors (tokens share rows by hash), dimensions, places set in an index vector, and
 #: how far around a token its context goes.
@@ -88,7 +88,7 @@ def token_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, i]) for i in range(DIMS))], ["row", *names])
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, ", ".join(["row bigint", *(f"{n} bigint" for n in names)]))
+    counted = with_small_batches(docs.select(F.col(text).alias("text"))).mapInArrow(run, ", ".join(["row bigint", *(f"{n} bigint" for n in names)]))
     summed = counted.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
     vectors = np.zeros((ROWS, DIMS))
     vectors[summed["row"].to_numpy()] = summed[names].to_numpy(float)
@@ -136,7 +136,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text", key: str =
             pools = pool(found, doc, batch.num_rows, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in pools], pa.binary())], ["id", "pool"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, pool binary")
+    return with_small_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, pool binary")
 
 
 @dataclass

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import small_batches, stored
+from goldsieve.llm.common import small_batches, stored, with_small_batches
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -110,7 +110,7 @@ def measured(docs: DataFrame, text: str, carried: list[Column]) -> DataFrame:
                 [*(batch.column(n) for n in names), *(pa.array(counts[m], pa.int64()) for m in MEASURES)], [*names, *MEASURES]
             )
 
-    return rows.mapInArrow(run, schema)
+    return with_small_batches(rows).mapInArrow(run, schema)
 
 
 def _value(rule: Rule) -> Column:

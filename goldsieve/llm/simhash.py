@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import partitions, small_batches, stored
+from goldsieve.llm.common import partitions, small_batches, stored, with_small_batches
 from goldsieve.llm.graph import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
             prints = [fingerprint(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(prints, pa.int64())], ["id", "text_hash", "print"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text_hash bigint, print bigint")
+    return with_small_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text_hash bigint, print bigint")
 
 
 def block_masks(count: int, bits: int) -> list[int]:
