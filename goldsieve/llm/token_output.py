@@ -12,19 +12,20 @@ import os
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import partitions, small_batches, spans, stored
+from goldsieve.llm.common import partitions, small_batches, spans, stored, with_small_batches
 
 #: Ids between checkpoints, ids in a block (a longer document makes a longer block), longest code in bits.
 STEP, BLOCK, LIMIT = 256, 1 << 16, 20
-#: Words a worker remembers before it starts again.
-REMEMBERED = 1_000_000
+#: Words a worker remembers before it forgets those it met least.
+REMEMBERED = 500_000
 
 
 # --- ids by the tokenizers library -----------------------------------------------------------------------------
@@ -40,38 +41,97 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.mark, self.mark_id = min(specials.items(), key=lambda s: s[1])
-        self.opening = os.path.commonprefix(list(specials)).encode()
-        self._reset()
-
-    def _reset(self) -> None:
+        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.opening = os.path.commonprefix(specials).encode()
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.closing = np.zeros(max(vocabulary.values()) + 1 + len(specials), bool)
+        self.closing[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.numbers, self.flat = defaultdict(count().__next__), np.zeros(0, np.int32)
-        self.offsets, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.offsets, self.lengths, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep words that were met more than once, or more often, so that half of the room is free."""
+        least = 2
+        while np.count_nonzero(self.uses >= least) > REMEMBERED // 2:
+            least *= 2
+        kept = np.flatnonzero(self.uses >= least)
+        words = list(self.numbers)
+        self.numbers = defaultdict(count(len(kept)).__next__, {words[at]: i for i, at in enumerate(kept.tolist())})
+        self.flat = self.flat[spans(self.offsets[kept], self.lengths[kept])]
+        self.lengths, self.uses = self.lengths[kept], self.uses[kept] // 2
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, ids per word)."""
+        flat, sizes = [], []
+        for at in range(0, len(words), 5000):
+            part = words[at:at + 5000]
+            encoded = self.library.encode_batch_fast(part, add_special_tokens=False)
+            lists = [e.ids for e in encoded]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            flat.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(flat or [np.zeros(0, np.int32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: each is one piece, so many are encoded as one text and told apart by the ids
+        that end a word."""
+        flat, sizes = [], []
+        for at in range(0, len(words), 2000):
+            part = words[at:at + 2000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            lengths = np.diff(np.flatnonzero(self.closing[ids]) + 1, prepend=0)
+            if len(lengths) != len(part) or int(lengths.sum()) != len(ids):  # letters to Python but not to the library
+                ids, lengths = self._pieces(part)
+            flat.append(ids)
+            sizes.append(lengths)
+        return np.concatenate(flat or [np.zeros(0, np.int32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+
+    def _add(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words and put their ids at the end of ``flat``; (offsets, lengths)."""
+        texts = [w.decode("utf-8") for w in words]
+        simple = np.fromiter((t.isalpha() and "\u0130" not in t for t in texts), bool, len(texts))  # whose small letter is two signs
+        offsets, lengths = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for chosen, encode in ((simple, self._letters), (~simple, self._pieces)):
+            ids, sizes = encode([texts[i] for i in np.flatnonzero(chosen).tolist()])
+            lengths[chosen] = sizes
+            offsets[chosen] = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.append(self.flat, ids)
+        return offsets, lengths
 
     def _learn(self) -> None:
-        """Encode words that came in since: many in one text, apart by a special token."""
-        new = [w.decode("utf-8") for w in list(self.numbers)[len(self.offsets):]]
-        if not new:
+        """Encode words that came in since. Stops and commas after a letter or digit are a piece of their own, so only
+        what is before them needs the library, and that only if it is not known yet."""
+        known = len(self.offsets)
+        words = list(self.numbers)[known:]
+        if not words:
             return
-        groups = [new[i:i + 500] for i in range(0, len(new), 500)]
-        found = []
-        for group, encoded in zip(groups, self.library.encode_batch_fast([f" {self.mark} ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(encoded.ids, np.int32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark_id))
-            pieces = [pieces[0], *(p[1:] for p in pieces[1:])]
-            if len(pieces) != len(group):  # a word holds the mark itself
-                pieces = [np.array(self.library.encode(w, add_special_tokens=False).ids, np.int32) for w in group]
-            found += pieces
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.offsets = np.append(self.offsets, len(self.flat) + np.cumsum(lengths) - lengths)
-        self.lengths = np.append(self.lengths, lengths)
-        self.flat = np.concatenate([self.flat, *found])
+        bases = {i: b for i, w in enumerate(words) if w[-1:] in b".," and (b := w.rstrip(b".,"))[-1:].isalnum()}
+        whole = [i for i in range(len(words)) if i not in bases] if bases else range(len(words))
+        number = self.numbers.get
+        further = list(dict.fromkeys(b for b in bases.values() if number(b) is None))
+        tails = list(dict.fromkeys(words[i][len(b):] for i, b in bases.items()))
+        at, size = self._add([*(words[i] for i in whole), *further, *tails])
+        offsets, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        n = len(whole)
+        offsets[list(whole)], lengths[list(whole)] = at[:n], size[:n]
+        if bases:
+            place = {b: len(self.offsets) + len(words) + i for i, b in enumerate(further)}
+            all_at = np.concatenate([self.offsets, offsets, at[n:n + len(further)]])
+            all_size = np.concatenate([self.lengths, lengths, size[n:n + len(further)]])
+            tail_at = {t: n + len(further) + i for i, t in enumerate(tails)}
+            base = np.array([place[b] if b in place else number(b) for b in bases.values()], np.int64)
+            tail = np.array([tail_at[words[i][len(b):]] for i, b in bases.items()], np.int64)
+            joined = self.flat[spans(np.stack([all_at[base], at[tail]], axis=1).ravel(), np.stack([all_size[base], size[tail]], axis=1).ravel())]
+            own, both = np.array(list(bases), np.int64), all_size[base] + size[tail]
+            offsets[own], lengths[own] = len(self.flat) + np.cumsum(both) - both, both
+            self.flat = np.append(self.flat, joined)
+        self.offsets, self.lengths = np.append(self.offsets, offsets), np.append(self.lengths, lengths)
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each closed by ``end_id``; ids per text)."""
         if len(self.numbers) > REMEMBERED:
-            self._reset()
+            self._forget()
         numbers, ends = [], []
         for text in texts:
             data = (text or "").encode("utf-8")
@@ -80,6 +140,7 @@ class WordEncoder:
             ends.append(len(words))
         self._learn()
         words = np.concatenate(numbers)
+        self.uses += np.bincount(words, minlength=len(self.uses))
         lengths = self.lengths[words]
         ids = self.flat[spans(self.offsets[words], lengths)]
         bounds = np.append(0, np.cumsum(lengths))
@@ -92,33 +153,41 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``id, n, ids``: little-endian 32-bit ids with the end id."""
+def id_type(tokenizer: str, end_id: int) -> str:
+    """The narrowest of two little-endian unsigned types that holds all ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, kind: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``id, n, ids``: ids of ``kind`` with the end id."""
+    width = np.dtype(kind).itemsize
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             ids, sizes = encoder(tokenizer).encode(batch.column("text").to_pylist(), end_id)
-            offsets = pa.py_buffer(np.append(0, np.cumsum(sizes * 4)).astype("<i4"))
-            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets, pa.py_buffer(ids.astype("<u4"))])
+            offsets = pa.py_buffer(np.append(0, np.cumsum(sizes * width)).astype("<i4"))
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets, pa.py_buffer(ids.astype(kind))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), packed], ["id", "n", "ids"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n bigint, ids binary")
+    return with_small_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n bigint, ids binary")
 
 
-def batch_ids(batch: pa.RecordBatch, column: str = "ids") -> np.ndarray:
+def batch_ids(batch: pa.RecordBatch, kind: str) -> np.ndarray:
     """The ids of all rows of a batch, one after the other."""
-    return np.frombuffer(b"".join(x or b"" for x in batch.column(column).to_pylist()), "<u4").astype(np.int64)
+    return np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind).astype(np.int64)
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs in the whole table; as many entries as the vocabulary has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(0, np.int64)
         for batch in batches:
             for part in small_batches([batch], "ids"):
-                counts = np.bincount(batch_ids(part), minlength=len(totals))
+                counts = np.bincount(batch_ids(part, kind), minlength=len(totals))
                 counts[: len(totals)] += totals
                 totals = counts
         ids = np.flatnonzero(totals)
@@ -230,58 +299,57 @@ def write_tokens(
     A null text counts as empty and holds the end id alone. Rows with equal keys are written one after the other, by
     their bits. Only ``text`` and ``key`` are read. An empty table writes a code and no blocks.
     """
-    spark = docs.sparkSession
-    tokens = stored(tokenized(docs, tokenizer, end_id, text, key), "tokens")
-    counts = id_counts(tokens)
+    spark, kind = docs.sparkSession, id_type(tokenizer, end_id)
+    tokens = stored(tokenized(docs, tokenizer, end_id, kind, text, key), "tokens")
+    counts = id_counts(tokens, kind)
     ids = np.array(sorted(counts), np.int64)
     lengths = code_lengths(np.array([counts[i] for i in ids.tolist()], np.int64), limit)
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id bigint, bits bigint").coalesce(1).write.parquet(f"{folder}/code")
-    code = Code(ids, lengths)
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_batches([batch], "ids"):
-                bits, marks = pack(batch_ids(part), part.column("n").to_numpy(), code)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("n"), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], ["id", "n", "bits", "marks"]
-                )
-
-    kind = dict(tokens.dtypes)["id"]
-    rows = tokens.mapInArrow(packed, f"id {kind}, n bigint, bits binary, marks binary")
-    splits = partitions(spark)
-    ranged = rows.withColumn("salt", F.xxhash64("bits")).repartitionByRange(splits, "id", "salt").withColumn("part", F.spark_partition_id())
-    ordered = ranged.sortWithinPartitions("id", "salt", "bits").select("part", "id", "n", "bits", "marks")
-    ordered.mapInArrow(_blocks, f"part int, block int, ids array<{kind}>, sizes array<bigint>, total bigint, bits binary, marks binary").write.parquet(
-        f"{folder}/blocks", compression="uncompressed"
-    )
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consecutive documents of a partition joined to blocks of at least ``BLOCK`` ids."""
-    rows: list[dict] = []
-    number = held = 0
-
-    def flush() -> pa.RecordBatch:
-        at = np.cumsum([0, *(len(r["bits"]) for r in rows)]) * 8
-        marks = np.concatenate([np.frombuffer(r["marks"], "<u8") + np.uint64(a) for r, a in zip(rows, at.tolist())])
+    key_type = dict(tokens.dtypes)["id"]
+    # Plain ids are dealt out, as finding the ranges reads the rows once more.
+    ranged = tokens.withColumn("salt", F.xxhash64("ids")).repartitionByRange(partitions(spark), "id", "salt").withColumn("part", F.spark_partition_id())
+    ordered = ranged.sortWithinPartitions("id", "salt", "ids").select("part", "id", "n", "ids")
+    ordered.mapInArrow(
+        block_writer(Code(ids, lengths), kind), f"part int, block int, ids array<{key_type}>, sizes array<bigint>, total bigint, bits binary, marks binary"
+    ).write.parquet(f"{folder}/blocks", compression="uncompressed")
+
+
+def block_writer(code: Code, kind: str):
+    """Consecutive documents of a partition in blocks of at least ``BLOCK`` ids."""
+
+    def block(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        bits, marks = pack(batch_ids(rows, kind), rows.column("n").to_numpy(), code)
+        at = np.cumsum([0, *map(len, bits)]) * 8
+        moved = np.concatenate([np.frombuffer(m, "<u8") + np.uint64(a) for m, a in zip(marks, at.tolist())])
+        sizes = rows.column("n")
         return pa.RecordBatch.from_pydict({
-            "part": pa.array([rows[0]["part"]], pa.int32()), "block": pa.array([number], pa.int32()),
-            "ids": pa.array([[r["id"] for r in rows]], pa.list_(kind)), "sizes": pa.array([[r["n"] for r in rows]], pa.list_(pa.int64())),
-            "total": pa.array([held], pa.int64()), "bits": pa.array([b"".join(r["bits"] for r in rows)], pa.binary()),
-            "marks": pa.array([marks.astype("<u8").tobytes()], pa.binary()),
+            "part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "block": pa.array([number], pa.int32()),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), rows.column("id")),
+            "sizes": pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), sizes),
+            "total": pa.array([int(pa.compute.sum(sizes).as_py())], pa.int64()), "bits": pa.array([b"".join(bits)], pa.binary()),
+            "marks": pa.array([moved.astype("<u8").tobytes()], pa.binary()),
         })
 
-    for batch in batches:
-        kind = batch.schema.field("id").type
-        for part in small_batches([batch], "bits"):
-            for row in part.to_pylist():
-                rows.append(row)
-                held += row["n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        number = held = 0
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            start = 0
+            while start < batch.num_rows:
+                reach = held + np.cumsum(sizes[start:])
+                end = start + int(np.searchsorted(reach, BLOCK)) + 1  # up to the document that fills the block
+                parts.append(batch.slice(start, end - start))
+                held = int(reach[min(end, batch.num_rows) - start - 1])
                 if held >= BLOCK:
-                    yield flush()
-                    rows, held, number = [], 0, number + 1
-    if rows:
-        yield flush()
+                    yield block(number, parts)
+                    parts, held, number = [], 0, number + 1
+                start = end
+        if parts:
+            yield block(number, parts)
+
+    return run
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
