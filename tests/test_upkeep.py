@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from goldsieve.operators import confidence, evaluate, ingest, judge, upkeep
 from goldsieve.plans import curation
