@@ -19,7 +19,7 @@ from goldsieve.llm.common import stored, text_of
 #: Lines of fewer words must match exactly to be duplicates.
 LEAST_WORDS = 10
 #: Bits of a filter; it holds one row for 64 of them at most, whatever the input.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 26
 SPACES = "\t\x0b\x0c\r"
 
 
@@ -44,15 +44,13 @@ def _halves(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``place`` (key, hash of the text, number of the line) and ``body`` of every line."""
+    """``place`` (key, hash of the text, number of the line) and ``body`` of every line with a word."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.posexplode(F.split(text_of(F.col(text)), "\n")).alias("at", "body"))
-    return rows.select(F.struct("id", "hash", "at").alias("place"), "body")
+    return rows.filter(F.trim(_plain(F.col("body"))) != "").select(F.struct("id", "hash", "at").alias("place"), "body")
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    """``place, words`` of the lines that have a word."""
-    words = F.array_remove(F.split(_plain(F.col("body")), " "), "")
-    return lines.select("place", words.alias("words")).filter(F.size("words") > 0)
+def _words(body: Column) -> Column:
+    return F.array_remove(F.split(_plain(body), " "), "")
 
 
 def _filtered(rows: DataFrame, column: str, wanted: DataFrame, of: str) -> DataFrame:
@@ -78,15 +76,18 @@ def _with_partner(rows: DataFrame) -> DataFrame:
 
 def _earlier(partners: DataFrame) -> DataFrame:
     """``number, earlier``: candidates for the earliest line within one edit of each, by equal variants."""
-    each = F.sequence(F.lit(0), F.size("words") - 1)
-    variants = F.transform(each, lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("words"), i)).alias("key")))
+    # Hashing one array after another is hashing their concatenation; numbers hash faster than words.
+    words = F.col("hashes")
+    each = F.sequence(F.lit(0), F.size(words) - 1)
+    left, right = lambda i: F.slice(words, F.lit(1), i), lambda i: F.slice(words, i + 2, F.size(words))
+    variants = F.transform(each, lambda i: F.struct(i.alias("i"), F.xxhash64(left(i), right(i)).alias("key")))
     parts = stored(partners.select("number", F.explode(variants).alias("v")).select("number", "v.key", "v.i"), "variants")
     # one word replaced: both without the same word
     groups = parts.groupBy("key", "i").agg(F.min("number").alias("least"), F.count(F.lit(1)).alias("n"))
     groups = stored(groups.filter("n > 1").drop("n"), "variant-groups")
     replaced = _filtered(parts, "key", groups, "key").join(groups, ["key", "i"]).select("number", F.col("least").alias("other"))
     # one word more or less: a line, and others without any one of their words; a key belongs to one line at most
-    whole = partners.select(F.xxhash64("words").alias("key"), F.col("number").alias("other"))
+    whole = partners.select(F.xxhash64("hashes").alias("key"), F.col("number").alias("other"))
     inserted = _filtered(parts, "key", whole, "key").join(whole, "key").select("number", "other")
     met = replaced.union(inserted).select(F.greatest("number", "other").alias("number"), F.least("number", "other").alias("other"))
     return met.filter("number <> other").groupBy("number").agg(F.min("other").alias("earlier"))
@@ -108,7 +109,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     """
     fuzzy = F.size("words") >= least_words
     digest = F.unhex(F.md5(F.array_join("words", " ").cast("binary")))
-    rows = stored(_words(_lines(docs, text, key)).select(
+    rows = stored(_lines(docs, text, key).select("place", _words(F.col("body")).alias("words")).select(
         "place", digest.alias("line"), F.when(fuzzy, _halves(F.col("words"))).alias("halves")
     ), "lines")
     firsts = stored(rows.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")), "first-lines")
@@ -116,13 +117,13 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     tags = stored(_with_partner(rows), "tags")
     tagged = _filtered(firsts.select("place", "line", F.xxhash64("line").alias("tag")), "tag", tags, "tag")
     wanted = stored(tagged.join(tags, "tag", "left_semi").select("place", "line"), "partners")
-    texts = _words(_filtered(_lines(docs, text, key), "place", wanted, "place")).filter(fuzzy)
+    texts = _filtered(_lines(docs, text, key), "place", wanted, "place").join(wanted, "place").dropDuplicates(["place"])
     # After a sort the ids rise with the place, so they stand for it in the variants.
-    named = texts.join(wanted, "place").dropDuplicates(["place"]).orderBy("place").withColumn("number", F.monotonically_increasing_id())
-    partners = stored(named.select("number", "line", "words"), "words")
+    named = texts.orderBy("place").select(F.monotonically_increasing_id().alias("number"), "line", _words(F.col("body")).alias("words"))
+    partners = stored(named.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "words")
     pairs = _earlier(partners)
     close = (
-        pairs.join(partners, "number")
+        pairs.join(partners.drop("hashes"), "number")
         .join(partners.select(F.col("number").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
         .filter(within_one_edit(F.col("words"), F.col("earlier_words")))
         .select("line", F.lit(True).alias("near"))
