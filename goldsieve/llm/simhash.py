@@ -25,18 +25,26 @@ SHINGLE, BITS, SEED = 4, 4, 42
 SHORT = 12
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The SimHash of one text as a signed 64-bit number; zero without words."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words of one text, in order; of all its words when they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
     size = min(size, len(words))
     n = len(words) - size + 1
     pieces = zip(starts[:n].tolist(), (starts + lengths)[size - 1:].tolist())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in pieces), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in pieces), np.uint64, n)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The SimHash of one text as a signed 64-bit number; zero without words."""
+    hashes = shingle_hashes(text, size)
+    n = len(hashes)
+    if n == 0:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[at:at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -161,15 +169,20 @@ def near_duplicates(
     )
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` but for near duplicates: of each component the row with the smallest key stays, null keys last,
-    then that with the smallest hash of its text; of rows that repeat key and text any one."""
-    found = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), "body", "id", size, bits)
+def keep_best(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` that stay of the components in ``found`` (``id, text_hash, component``): of each the row with
+    the smallest key, null keys last, then that with the smallest hash of its text; of rows that repeat key and text any one."""
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("best"))
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
     same = F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.text_hash") == F.col("hash"))
     return rows.join(best, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
+def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates; which row of a component stays is ``keep_best``'s law."""
+    found = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), "body", "id", size, bits)
+    return keep_best(docs, found, text, key)
+
+
 def hex_print(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
