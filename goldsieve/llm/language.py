@@ -9,6 +9,8 @@ distinct word once and counts it wherever it occurs.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +29,9 @@ HIDDEN, LONGEST, STEPS, BATCH, RATE = 16, 24, 900, 256, 6e-3
 #: Words a task remembers before it starts again; words labelled at once.
 REMEMBERED, AT_ONCE = 300_000, 4096
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Combining marks, which Python's \w leaves out; letters before and after them belong to one word.
+MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+LETTERS = re.compile(rf"[^\W\d_]+(?:(?=[^\x00-\x7f])[{MARKS}]+[^\W\d_]*)*")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -237,8 +241,8 @@ def identify_languages(
     """One row per document: ``key, held_out, lang_pred, score`` and the ``carry`` columns.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text when nothing was learned. Every letter
-    of a text counts, whatever its length. Null and repeated keys are kept as they are; only ``text``, ``key`` and what
-    is carried are read. An empty table gives no rows.
+    of a text counts with the combining marks after it, whatever its length; digits and punctuation are not read. Null and
+    repeated keys are kept as they are; only ``text``, ``key`` and what is carried are read. An empty table gives no rows.
     """
     names = [f"_{i}" for i in range(len(carry))]
     rows = docs.select(
