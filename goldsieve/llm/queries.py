@@ -18,6 +18,7 @@ from goldsieve.llm.language import identify_languages, train_language_model
 from goldsieve.llm.line_dedup import ORACLE as LINE_ORACLE
 from goldsieve.llm.line_dedup import dedup_lines
 from goldsieve.llm.mixing import mix_sources
+from goldsieve.llm.prefix_counts import count_prefixes
 from goldsieve.llm.quality_model import score_quality
 from goldsieve.llm.quality_rules import ORACLE as QUALITY_ORACLE
 from goldsieve.llm.quality_rules import quality_rules
@@ -110,3 +111,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_prefixes(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
