@@ -159,6 +159,8 @@ class PrefixCounter:
 
     def counts(self, letters: np.ndarray, offset: np.ndarray) -> np.ndarray:
         """Tokens of the prefix of its piece that ends with each byte; ``offset`` counts the bytes before it there."""
+        if len(letters) == 0:
+            return offset
         place, size, token = self._endings(letters, offset)
         order = np.lexsort((-size, place, offset[place]))  # by prefix length, then piece, the longest token first
         place, size, token = place[order], size[order], token[order]
