@@ -11,13 +11,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import scratch
+from goldsieve.llm.common import WORD, scratch
 from goldsieve.llm.bpe import bpe_decode, bpe_encode
 from goldsieve.llm.exact_dedup import exact_duplicates
 from goldsieve.llm.language import identify_languages, train_language_model
 from goldsieve.llm.line_dedup import ORACLE as LINE_ORACLE
 from goldsieve.llm.line_dedup import dedup_lines
 from goldsieve.llm.mixing import mix_sources
+from goldsieve.llm.periodic_runs import periodic_runs
 from goldsieve.llm.prefix_counts import count_prefixes
 from goldsieve.llm.quality_model import score_quality
 from goldsieve.llm.quality_rules import ORACLE as QUALITY_ORACLE
@@ -26,6 +27,45 @@ from goldsieve.llm.sharding import shard_by_bytes
 from goldsieve.llm.simhash import near_duplicates
 from goldsieve.llm.token_output import read_tokens, write_tokens
 
+def crc32_sql(text: str) -> str:
+    """SQL for DuckDB, which has no such function: the unsigned crc32 of a short ASCII text, bit by bit."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    turn = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}::BIGINT[]), lambda c, x: {turn}), 4294967295::BIGINT)"
+
+
+#: All places that hold the word found one period on, as stretches without a gap; the least period of a stretch counts.
+RUNS_ORACLE = f"""
+WITH hashed AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
+         {crc32_sql("doc_id::VARCHAR")} AS h FROM documents
+), planned AS (
+  SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM hashed
+), numbered AS (
+  SELECT k, doc_id, n, unnest(range(n)) AS i, ws, a, 1 + (n - a) // (3 + g % 8) AS p FROM planned
+), words AS (
+  SELECT k, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM numbered
+), same AS (
+  SELECT x.k, x.n, y.i - x.i AS q, x.i AS i FROM words x JOIN words y ON x.k = y.k AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT k, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM same)
+  GROUP BY k, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT k, s, len, min(q) AS q FROM stretches GROUP BY k, s, len
+), listed AS (
+  SELECT k, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listing FROM runs GROUP BY k
+), best AS (
+  SELECT k, s, len, q FROM (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY len * 1.0 / q DESC, s, q) AS place FROM runs) WHERE place = 1
+), kept AS (
+  SELECT k, string_agg(w, ' ' ORDER BY i) AS body FROM words
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.k = words.k AND words.i >= r.s + r.q AND words.i < r.s + r.len) GROUP BY k
+)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, b.len * 1000 // b.q AS exponent_milli,
+       sha256(coalesce(l.listing, '')) AS runs_sha256, sha256(coalesce(t.body, '')) AS collapsed_sha256
+FROM planned d LEFT JOIN listed l USING (k) LEFT JOIN best b USING (k) LEFT JOIN kept t USING (k)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -113,6 +153,40 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """The documents, of which a tenth by the hash of the id end in words that repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    chosen = (F.col("h") % 10 == 0) & F.col("text").rlike(WORD)
+    words = F.when(chosen, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words")).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), F.col("n") - F.col("a"))
+    return rows.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(
+        F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")).alias("text"))
+
+
+@query("op11_periodic_runs", RUNS_ORACLE)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_period(documents(spark, sf_dir)))
+
+    def better(best, r):  # of runs in ascending order of start and period the first of the greatest exact exponent
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    kind = "struct<start:bigint,length:bigint,period:bigint>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), better)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    rows = found.select("row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 @query("op12_token_counts")
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_prefixes(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
