@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.llm.common import WORD, scratch
 from goldsieve.llm.bpe import bpe_decode, bpe_encode
+from goldsieve.llm.conversation_repair import conversation_digests, repair_conversations
 from goldsieve.llm.exact_dedup import exact_duplicates
 from goldsieve.llm.language import identify_languages, train_language_model
 from goldsieve.llm.line_dedup import ORACLE as LINE_ORACLE
@@ -191,3 +192,78 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_prefixes(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def with_faults(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the hash of conversation and turn; a dropped row only names its conversation."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    fault = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return rows.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (fault == 0).alias("absent"), F.explode(F.array_repeat(F.lit(1), F.when(fault == 3, 2).otherwise(1).cast("int"))).alias("copy"),
+    ).drop("copy")
+
+
+def _repair_oracle() -> str:
+    """Four states (0 start, 1 after system, 2 after user, 3 after a pair), each with ten digits of price before its letters of edits."""
+    def more(state: str, price: str, edit: str) -> str:
+        return f"printf('%010d', substr({state}, 1, 10)::BIGINT + {price}) || substr({state}, 11) || '{edit}'"
+
+    may_read_user = "least(s.s0, s.s1, s.s3)"
+    return f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE h <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt
+), seen AS (
+  SELECT *, substr(role, 1, 1) AS r, NOT regexp_matches(text, '{WORD}') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut FROM ordered
+), flagged AS (
+  SELECT *, blank OR again AS must, CASE WHEN cut AND NOT blank AND NOT again THEN 5 ELSE 0 END AS extra,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS bad FROM seen
+), steps(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '0000000000', NULL::VARCHAR, '0000000005I', '0000000010II' FROM conversations
+  UNION ALL
+  SELECT conv_id, i, n0, n1, c2, least(n3, {more("c2", "5", "I")}) FROM (
+    SELECT *, least(n2, {more("least(n0, n1, n3)", "5", "I")}) AS c2 FROM (
+      SELECT s.conv_id, f.i, {more("s.s0", "2", "D")} AS n0,
+        least({more("s.s1", "2", "D")}, CASE WHEN NOT must AND r = 's' THEN {more("s.s0", "extra", "K")} END) AS n1,
+        least({more("s.s2", "2", "D")}, CASE WHEN NOT must THEN {more(may_read_user, "1 + extra", "R")} END,
+              CASE WHEN NOT must AND r = 'u' THEN {more(may_read_user, "extra", "K")} END) AS n2,
+        least({more("s.s3", "2", "D")}, CASE WHEN NOT must THEN {more("s.s2", "1 + extra", "R")} END,
+              CASE WHEN NOT must AND r = 'a' THEN {more("s.s2", "extra", "K")} END) AS n3
+      FROM steps s JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1))
+), solved AS (
+  SELECT conv_id, substr(v, 1, 10)::BIGINT AS cost, substr(v, 11) AS audit FROM (SELECT conv_id, arg_max(least(s0, s3), i) AS v FROM steps GROUP BY conv_id)
+), letters AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS e FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM solved)
+), placed AS (
+  SELECT *, sum((e <> 'I')::INT) OVER w AS i, sum((e <> 'D')::INT) OVER w AS m FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+), kept AS (
+  SELECT p.conv_id, p.j, p.e, p.m, f.role, f.text, max((p.m = 1 AND p.e = 'K' AND f.r = 's')::INT) OVER (PARTITION BY p.conv_id) AS has_system
+  FROM placed p LEFT JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND p.e <> 'I' WHERE p.e <> 'D'
+), written AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body FROM kept GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(again AND NOT blank) AS duplicate, count_if(extra > 0) AS truncated, count_if(bad) AS illegal FROM flagged GROUP BY conv_id
+)
+SELECT s.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM solved s LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+@query("op13_conversation_repair", _repair_oracle())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_faults(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_digests(repair_conversations(rows, absent="absent"))
