@@ -207,22 +207,20 @@ def _schema(frame: DataFrame, names: list[str], more: str) -> str:
     return ", ".join([*(f"`{n}` {kinds[n]}" for n in names), more])
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns and ``ids``: little-endian unsigned 32-bit ids in one binary value.
-
-    Whole texts are encoded, special tokens in a text included, and nothing is added. A null or empty text has no
-    ids. Rows stay as they are and where they are: repeated or null keys change nothing, and an empty table gives no
-    rows. ``path`` names a vocabulary file that every executor can open.
-    """
-    names = list(carry)
+def _encoded(docs: DataFrame, path: str, text: str, names: list[str], decode: bool) -> DataFrame:
     rows = docs.select(*(F.col(n) for n in names), F.col(text).alias("_text"))
+    more = ["ids", "decoded"] if decode else ["ids"]
 
-    def flush(waiting: list[pa.RecordBatch], stretch: Stretch) -> Iterator[pa.RecordBatch]:
+    def flush(waiting: list[pa.RecordBatch], stretch: Stretch, vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
         encoded, at = stretch.encode(), 0
         for batch in waiting:
-            ids = pa.array([x.astype("<u4").tobytes() for x in encoded[at:at + batch.num_rows]], pa.binary())
+            here = encoded[at:at + batch.num_rows]
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "ids"])
+            columns = [pa.array([x.astype("<u4").tobytes() for x in here], pa.binary())]
+            if decode:  # from the stored form, as a reader would
+                read = (np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in columns[0])
+                columns.append(pa.array([decode_ids(x, vocab) for x in read], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -232,12 +230,27 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: tuple[str,
                 stretch.add(value or "")
             waiting.append(batch.select(names))
             if stretch.size >= STRETCH:
-                yield from flush(waiting, stretch)
+                yield from flush(waiting, stretch, vocab)
                 waiting, stretch = [], Stretch(vocab)
         if waiting:
-            yield from flush(waiting, stretch)
+            yield from flush(waiting, stretch, vocab)
+
+    return with_small_batches(rows).mapInArrow(run, _schema(rows, names, "ids binary, decoded string" if decode else "ids binary"))
+
+
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns and ``ids``: little-endian unsigned 32-bit ids in one binary value.
+
+    Whole texts are encoded, special tokens in a text included, and nothing is added. A null or empty text has no
+    ids. Rows stay as they are and where they are: repeated or null keys change nothing, and an empty table gives no
+    rows. ``path`` names a vocabulary file that every executor can open.
+    """
+    return _encoded(docs, path, text, list(carry), decode=False)
+
 
-    return with_small_batches(rows).mapInArrow(run, _schema(rows, names, "ids binary"))
+def bpe_encode_decode(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As ``bpe_encode``, with the text ``decoded`` from the ids beside them: one pass and one vocabulary a task for both."""
+    return _encoded(docs, path, text, list(carry), decode=True)
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldsieve.llm.common import WORD, scratch
-from goldsieve.llm.bpe import bpe_decode, bpe_encode
+from goldsieve.llm.bpe import bpe_encode_decode
 from goldsieve.llm.conversation_repair import conversation_digests, repair_conversations
 from goldsieve.llm.exact_dedup import exact_duplicates
 from goldsieve.llm.language import identify_languages, train_language_model
@@ -120,10 +120,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
-    return decoded.select(
+    return bpe_encode_decode(documents(spark, sf_dir), path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

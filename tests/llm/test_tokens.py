@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -7,8 +8,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from goldsieve.llm import bpe, token_output
-from goldsieve.llm.bpe import bpe_decode, bpe_encode, decode_ids, encode_texts, vocabulary
+from goldsieve.llm.bpe import bpe_decode, bpe_encode, bpe_encode_decode, decode_ids, encode_texts, vocabulary
 from goldsieve.llm.common import scratch
+from goldsieve.llm.queries import QUERIES
 from goldsieve.llm.token_output import STEP, Code, WordEncoder, code_lengths, pack, read_tokens, unpack, write_tokens
 from tests.llm.conftest import EDGE
 
@@ -45,6 +47,8 @@ def test_bpe_round_trip_in_spark(edge, clashing, docs, stretch, monkeypatch):
     monkeypatch.setattr(bpe, "STRETCH", stretch)
     rows = bpe_decode(bpe_encode(edge, BYTES, carry=("doc_id", "text")), BYTES, carry=("doc_id",)).collect()
     assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(((k, t or "") for k, t in (r[:2] for r in EDGE)), key=repr)
+    both = bpe_encode_decode(edge, BYTES, carry=("doc_id", "text")).collect()
+    assert all(r.decoded == (r.text or "") for r in both) and len(both) == len(EDGE)
     assert bpe_encode(clashing, BYTES, carry=("doc_id", "row", "key")).columns == ["doc_id", "row", "key", "ids"]
     assert bpe_encode(docs([]), BYTES).count() == 0
 
@@ -139,3 +143,30 @@ def test_empty_and_clashing(spark, docs, clashing):
     folder = scratch(spark, "test")
     write_tokens(clashing, folder, WORDS)
     assert read_tokens(spark, folder).count() == len(EDGE)
+
+
+def test_op5_query_equals_the_library(spark, small):
+    library = Tokenizer.from_file(BYTES)
+    library.no_truncation()
+    library.no_padding()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = QUERIES["op5_bpe"](spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_op1_query_equals_the_library(spark, small):
+    library = Tokenizer.from_file(WORDS)
+    library.no_truncation()
+    library.no_padding()
+    docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    start, want = 0, []
+    for r in docs:
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want.append((r.doc_id, start, len(ids), digest(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op1_token_output"](spark, small).collect())) == want
