@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldsieve.llm.bpe import bpe_decode, bpe_encode
+from goldsieve.llm.bpe import bpe_encode_decode
 from goldsieve.llm.common import stored
 from goldsieve.llm.language import UNKNOWN, identify_languages, train_language_model
 from goldsieve.llm.line_dedup import dedup_lines
@@ -61,10 +61,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and digests of the ids and of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe_decode(bpe_encode(docs, path), path)
-    return decoded.select(
+    return bpe_encode_decode(docs, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
