@@ -8,9 +8,6 @@ distinct word once and counts it wherever it occurs.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +15,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +27,8 @@ HIDDEN, LONGEST, STEPS, BATCH, RATE = 16, 24, 900, 256, 6e-3
 #: Words a task remembers before it starts again; words labelled at once.
 REMEMBERED, AT_ONCE = 300_000, 4096
 UNKNOWN = "und"
-#: Combining marks, which Python's \w leaves out; letters before and after them belong to one word.
-MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
-LETTERS = re.compile(rf"[^\W\d_]+(?:(?=[^\x00-\x7f])[{MARKS}]+[^\W\d_]*)*")
+#: Letters, and the combining marks after the first; numerals that look like letters are none.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

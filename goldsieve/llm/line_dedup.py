@@ -144,18 +144,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least_
     """
     drops = dropped_lines(docs, text, key, least_words)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    tagged = docs.select(*names, F.xxhash64(text).alias("_hash"))
-    joined = tagged.join(
-        drops.select(F.col("id").alias("_id"), F.col("hash").alias("_of"), F.col("drops").alias("_drops")),
-        (F.col("_hash") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_id")), "left",
-    )
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drops", i)), "\n")
-    has_word = F.size(F.filter(F.split(text_of(F.col(text)), "\n"), lambda x: F.trim(_plain(x)) != "")).cast("bigint")
+    tagged = docs.select(F.struct(*names).alias("row"), F.col(key).alias("id"), F.col(text).alias("body"), F.xxhash64(text).alias("hash"))
+    lost = drops.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "drops")
+    joined = tagged.join(lost, (F.col("hash") == F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of_id")), "left")
+    kept = F.array_join(F.filter(F.split("body", "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
+    has_word = F.size(F.filter(F.split(text_of(F.col("body")), "\n"), lambda x: F.trim(_plain(x)) != "")).cast("bigint")
+    left = F.when(F.col("drops").isNull(), F.col("body")).otherwise(kept)
+    whole = F.struct(*(left.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names))
     return joined.select(
-        *(F.when(F.col("_drops").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in names),
-        has_word.alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
-    )
+        whole.alias("row"), has_word.alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    ).select("row.*", "n_lines", "n_dropped")
 
 
 ORACLE = rf"""

@@ -85,8 +85,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
 
     Every shard's bytes come within about ``tolerance`` of the mean, as far as whole rows allow. Equal texts share a
     shard unless they outweigh one; null counts as empty. Null and repeated keys are rows like any other (slots
-    between identical rows are interchangeable). Columns of ``docs`` with the names of added ones are replaced. An
-    empty table gives an empty table.
+    between identical rows are interchangeable). Columns of ``docs`` with the names of added ones are replaced; others are
+    kept, whatever their names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     place = F.xxhash64(text_of(F.col(text)))
@@ -140,10 +140,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
     first = F.broadcast(spark.createDataFrame(offsets, "_shard int, _piece int, _base bigint"))
 
     names = [c for c in docs.columns if c not in ("shard_bytes", "shard", "slot")]
-    rows = docs.select(*names, *(c.alias(n) for n, c in added.items()))
-    order = Window.partitionBy("_shard", "_piece").orderBy("_key", F.col(key))
+    rows = docs.select(F.struct(*names).alias("row"), F.col(key).alias("id"), *(c.alias(n) for n, c in added.items()))
+    order = Window.partitionBy("_shard", "_piece").orderBy("_key", "id")
     exchanged = sharded(rows, "_key", "_slice").repartition(partitions(spark), "_shard", "_piece")
     numbered = exchanged.withColumn("_row", F.row_number().over(order)).join(first, ["_shard", "_piece"])
     return numbered.select(
-        *names, "shard_bytes", F.col("_shard").alias("shard"), (F.col("_base") + F.col("_row") - 1).alias("slot"),
+        "row.*", "shard_bytes", F.col("_shard").alias("shard"), (F.col("_base") + F.col("_row") - 1).alias("slot"),
     )

@@ -30,5 +30,7 @@ def edge(docs):
 @pytest.fixture
 def clashing(docs):
     """Columns with names that operators use inside or add."""
-    names = "id body tie hot head slice row place line words key print size shard slot kept score held_out lang_pred n_lines ids start best hash first".split()
+    names = "id body tie hot head slice row place line words key print size shard slot kept score held_out lang_pred n_lines ids start best hash first "
+    names += "_hash _id _of _drops _key _slice _base _whole _part _shard _piece _row _text _ids body drops of_id of_hash fingerprint component who conv"
+    names = list(dict.fromkeys(names.split()))
     return docs(EDGE, extra="".join(f", `{n}` string" for n in names))

@@ -19,3 +19,9 @@ def test_every_byte_of_a_marked_word_is_labelled():
 def test_words_without_marks_are_as_before():
     text = "Straße, l'été 2024: foo_bar x1y — 漢字!"
     assert LETTERS.findall(text) == re.findall(r"[^\W\d_]+", text)
+
+
+def test_numerals_are_no_letters(docs):
+    assert LETTERS.findall("½ ² ① Ⅷ 3") == []
+    labeller = Labeller(Network(["a", "b"]))
+    assert [label for label, _ in labeller.label(["½ ² ① Ⅷ", "a½", None])] [::2] == ["und", "und"]
