@@ -18,17 +18,56 @@ def accepted_or_unchecked(frame: DataFrame, dedup_log: DataFrame) -> DataFrame:
     ).drop("action")
 
 
+def counted_evals(evals: DataFrame, scores: DataFrame, dedup_log: DataFrame) -> DataFrame:
+    """The evals that coverage counts, with their cell and agreement."""
+    approved = scores.filter(F.col("status") == "approved").select("eval_id", "agreement_ratio")
+    return accepted_or_unchecked(evals.select("eval_id", "category", "difficulty").join(approved, "eval_id"), dedup_log)
+
+
 def coverage_report(evals: DataFrame, scores: DataFrame, dedup_log: DataFrame) -> DataFrame:
     """Count and mean agreement per (category, difficulty), smallest cells first."""
-    approved = scores.filter(F.col("status") == "approved").select("eval_id", "agreement_ratio")
-    base = accepted_or_unchecked(evals.select("eval_id", "category", "difficulty").join(approved, "eval_id"), dedup_log)
     return (
-        base.groupBy("category", "difficulty")
+        counted_evals(evals, scores, dedup_log).groupBy("category", "difficulty")
         .agg(F.count(F.lit(1)).alias("count"), F.avg("agreement_ratio").alias("avg_confidence"))
         .orderBy("count", "category", "difficulty")
     )
 
 
+def coverage_state(counted: DataFrame) -> DataFrame:
+    """What a report can be carried on from: per cell the evals, those with an agreement, and the sum of agreements."""
+    return counted.groupBy("category", "difficulty").agg(
+        F.count(F.lit(1)).alias("count"), F.count("agreement_ratio").alias("scored"), F.coalesce(F.sum("agreement_ratio"), F.lit(0.0)).alias("total")
+    )
+
+
+def coverage_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """By how much cells change when of some evals the counted rows were ``before`` and are ``after``.
+
+    Only changed evals are given; one that is no longer counted, or changes its cell, is taken out where it was.
+    """
+    out = [F.lit(-1).alias("sign"), "category", "difficulty", "agreement_ratio"]
+    moved = before.select(*out).unionByName(after.select(F.lit(1).alias("sign"), *out[1:]))
+    known = F.col("agreement_ratio").isNotNull().cast("bigint")
+    return moved.groupBy("category", "difficulty").agg(
+        F.sum("sign").alias("count"), F.sum(F.col("sign") * known).alias("scored"),
+        F.coalesce(F.sum(F.col("sign") * F.col("agreement_ratio")), F.lit(0.0)).alias("total"),
+    )
+
+
+def apply_delta(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """The state after a delta; cells without evals go."""
+    columns = ["category", "difficulty", "count", "scored", "total"]
+    added = state.select(columns).unionByName(delta.select(columns)).groupBy("category", "difficulty").agg(
+        *(F.sum(c).alias(c) for c in columns[2:]))
+    return added.filter(F.col("count") > 0)
+
+
+def report_of(state: DataFrame) -> DataFrame:
+    """The coverage report of a state."""
+    mean = F.when(F.col("scored") > 0, F.col("total") / F.col("scored"))
+    return state.select("category", "difficulty", "count", mean.alias("avg_confidence")).orderBy("count", "category", "difficulty")
+
+
 def flag_thin(report: DataFrame, below: int = THIN_CELL) -> DataFrame:
     return report.withColumn("needs_more", F.col("count") < below)
 

@@ -82,6 +82,19 @@ def coverage_matrix(evals: DataFrame, difficulties: list[str] | None = None) ->
     )
 
 
+def label_crosstab(labels: DataFrame) -> DataFrame:
+    """``category, difficulty, count`` for all categories and all difficulties that occur, zero where a cell is empty.
+
+    Rows without a category or difficulty are left out. The values come from the labels, so failed ones show too.
+    """
+    known = labels.filter("category IS NOT NULL AND difficulty IS NOT NULL")
+    counts = known.groupBy("category", "difficulty").agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.agg(F.collect_set("difficulty")).scalar()
+    cells = counts.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("difficulty", "n"))).alias("cells"))
+    every = cells.select("category", "cells", F.explode(seen).alias("difficulty"))
+    return every.select("category", "difficulty", F.coalesce(F.try_element_at("cells", F.col("difficulty")), F.lit(0)).cast("bigint").alias("count"))
+
+
 def assertion_text(view: DataFrame) -> DataFrame:
     """Readable forms: items joined by ', ' or 'None', missing texts as 'N/A'."""
 

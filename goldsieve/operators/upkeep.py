@@ -50,9 +50,9 @@ def add_missing_column(table: DataFrame, name: str, dtype: str) -> DataFrame:
 
 
 def latest_per_key(history: DataFrame, key: str, *order: str) -> DataFrame:
-    """The newest row of every key of an append-only table; combines on the map side."""
+    """The newest row of every key of an append-only table, of equally new ones by their values; combines on the map side."""
     columns = [c for c in history.columns if c != key]
-    newest = history.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row"))
+    newest = history.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order, *columns)).alias("_row"))
     return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from goldsieve.functions.text import redact_pii
-from goldsieve.operators import confidence, coverage, curate, evaluate, ingest, judge, pending, regress, upkeep
+from goldsieve.operators import confidence, coverage, curate, evaluate, ingest, judge, numbering, pending, regress, upkeep
 from goldsieve.plans.registry import query
 
 # --- SQL pieces shared by several checks -----------------------------------------------------------
@@ -69,6 +69,18 @@ def signal_sample(t):
     return marked.filter(F.col("is_sampled") == 1).select("id", "priority_score")
 
 
+@query(
+    "signal_draws",
+    f"""WITH {_SAMPLED}, line AS (SELECT id, w, CAST(sum(w) OVER (ORDER BY id) AS BIGINT) - w AS before FROM new),
+    points AS (SELECT CAST(floor(('0x' || substr(md5('42:draw' || j), 1, 13))::BIGINT / pow(2, 52) * tw) AS BIGINT) AS point
+        FROM (SELECT unnest(range(CAST(n AS BIGINT))) AS j, tw FROM tot))
+    SELECT id, count(*) AS draws FROM points JOIN line ON point >= before AND point < before + w GROUP BY id""",
+)
+def signal_draws(t):
+    fresh = ingest.with_priority(ingest.new_logs(t.raw_logs, t.ingested_ids).select("id", "user_feedback", "latency_ms"))
+    return numbering.weighted_draws(fresh, "id", "priority_score")
+
+
 @query(
     "normalize_logs",
     f"""WITH {_SAMPLED} SELECT id, log_ts, {_REDACT.format(c='user_prompt')} AS user_prompt,
@@ -388,6 +400,23 @@ def assign_eval_ids(t):
     return upkeep.assign_eval_ids(todo)
 
 
+@query(
+    "dense_eval_ids",
+    """WITH todo AS (SELECT i.id AS interaction_id, labeled_late, row_number() OVER (ORDER BY labeled_late, i.id) AS dense_id
+       FROM (SELECT *, coalesce(user_feedback, '') = 'retry' AS labeled_late FROM normalized_logs) i
+       WHERE i.id NOT IN (SELECT interaction_id FROM eval_dataset)
+         AND (coalesce(cluster_id, 0) = -1 OR coalesce(user_feedback, '') IN ('thumbs_down', 'retry')))
+       SELECT interaction_id, dense_id FROM todo""",
+)
+def dense_eval_ids(t):
+    """Two batches: retried requests come second and go on from the last number of the others."""
+    todo = pending.to_label(t.normalized_logs, t.eval_dataset).select(F.col("id").alias("interaction_id"))
+    late = t.normalized_logs.filter("user_feedback = 'retry'").select(F.col("id").alias("interaction_id"))
+    first = numbering.dense_ids(todo.join(late, "interaction_id", "left_anti"), "interaction_id", "dense_id")
+    second = numbering.dense_ids(todo.join(late, "interaction_id", "left_semi"), "interaction_id", "dense_id", first)
+    return first.unionByName(second)
+
+
 @query(
     "apply_review_decisions",
     """SELECT c.eval_id, coalesce(CASE d.decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' END, c.status) AS status,
@@ -418,6 +447,26 @@ def coverage_report(t):
     return _report(t).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
+@query(
+    "coverage_delta",
+    f"""WITH reviewed AS (SELECT c.eval_id, c.agreement_ratio,
+        coalesce(CASE d.decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' END, c.status) AS status
+        FROM confidence_scores c LEFT JOIN review_decisions d ON d.eval_id = c.eval_id)
+    SELECT category, difficulty, count(*) AS count, round(avg(agreement_ratio), 9) AS avg_confidence
+    FROM eval_dataset JOIN reviewed USING (eval_id) WHERE status = 'approved' AND {_NOT_REJECTED} GROUP BY ALL""",
+)
+def coverage_delta(t):
+    """The report before the review decisions, carried on by the evals that these touch."""
+    state = coverage.coverage_state(coverage.counted_evals(t.eval_dataset, t.confidence_scores, t.dedup_log))
+    touched = t.review_decisions.select("eval_id").distinct()
+    old = t.confidence_scores.join(touched, "eval_id", "left_semi")
+    decisions = t.review_decisions.withColumn("at", F.lit(1))
+    new, _ = confidence.apply_decisions(old, t.human_review_queue, decisions, "at")
+    evals, log = t.eval_dataset.join(touched, "eval_id", "left_semi"), t.dedup_log
+    delta = coverage.coverage_delta(coverage.counted_evals(evals, old, log), coverage.counted_evals(evals, new, log))
+    return coverage.report_of(coverage.apply_delta(state, delta)).withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
 @query("coverage_flagged", f"WITH {_REPORT} SELECT category, difficulty, count, count < 3 AS needs_more FROM rep")
 def coverage_flagged(t):
     return coverage.flag_thin(_report(t)).drop("avg_confidence")
@@ -687,6 +736,18 @@ def coverage_matrix(t):
     return curate.coverage_matrix(t.eval_dataset)
 
 
+@query(
+    "label_crosstab",
+    f"""WITH labels AS (SELECT CASE WHEN j IS NULL THEN 'Labeling Failed' ELSE {_CATEGORY} END AS category,
+        CASE WHEN j IS NULL THEN 'unknown' ELSE {_DIFFICULTY} END AS difficulty FROM (SELECT raw, {_JSON} AS j FROM judge_raw)),
+    rows AS (SELECT DISTINCT category FROM labels), cols AS (SELECT DISTINCT difficulty FROM labels)
+    SELECT r.category, c.difficulty, (SELECT count(*) FROM labels l WHERE l.category = r.category AND l.difficulty = c.difficulty) AS count
+    FROM rows r, cols c""",
+)
+def label_crosstab(t):
+    return curate.label_crosstab(judge.label_with_fallback(t.judge_raw, source=judge.model_source(F.lit("vendor/judge-1:free"))))
+
+
 @query(
     "assertion_text",
     f"""WITH {_EXPLORER} SELECT eval_id,
