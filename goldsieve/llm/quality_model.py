@@ -73,22 +73,45 @@ def count_contexts(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, signs: np.
     return total
 
 
-def token_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
+def tokenised(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``id, rows`` of every row: the table rows of its tokens, two little-endian bytes each. Texts are read here alone."""
+    plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in small_batches(batches, "text"):
+            rows, doc = tokens.of(batch.column("text").to_pylist())
+            flat = rows.astype("<u2").tobytes()
+            ends = 2 * np.append(0, np.cumsum(np.bincount(doc, minlength=batch.num_rows)))
+            column = pa.array([flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), column], ["id", "rows"])
+
+    return with_small_batches(plain).mapInArrow(run, f"id {dict(plain.dtypes)['id']}, rows binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of all tokens, the number of the document that each is in)."""
+    values = batch.column("rows").to_pylist()
+    sizes = [len(v) // 2 for v in values]
+    return np.frombuffer(b"".join(values), "<u2").astype(np.int64), np.repeat(np.arange(len(values)), sizes)
+
+
+def token_vectors(tokens: DataFrame) -> np.ndarray:
     """The table of token vectors over all documents: unit rows around their mean. It has ``ROWS`` rows at any size."""
     names = [f"d{i}" for i in range(DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, (at, signs) = Tokens(), index_vectors()
+        at, signs = index_vectors()
         total = np.zeros(ROWS * DIMS, np.int64)
-        for batch in small_batches(batches, "text"):
-            rows, doc = tokens.of(batch.column("text").to_pylist())
+        for batch in small_batches(batches, "rows", 4 << 20):
+            rows, doc = _unpacked(batch)
             if len(rows) > 1:
                 total += count_contexts(rows, doc, at, signs)
         sums = total.reshape(ROWS, DIMS)
         used = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, i]) for i in range(DIMS))], ["row", *names])
 
-    counted = with_small_batches(docs.select(F.col(text).alias("text"))).mapInArrow(run, ", ".join(["row bigint", *(f"{n} bigint" for n in names)]))
+    counted = with_small_batches(tokens.select("rows")).mapInArrow(run, ", ".join(["row bigint", *(f"{n} bigint" for n in names)]))
     summed = counted.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
     vectors = np.zeros((ROWS, DIMS))
     vectors[summed["row"].to_numpy()] = summed[names].to_numpy(float)
@@ -118,25 +141,25 @@ def pool(rows: np.ndarray, doc: np.ndarray, texts: int, vectors: np.ndarray) ->
         for k in range(1, 5):
             same = doc[k:] == doc[:-k]
             alike = np.zeros(len(rows), np.float32)
-            alike[:-k][same] = np.einsum("ij,ij->i", each[:-k][same], each[k:][same]) if len(rows) > k else 0
+            if len(rows) > k:  # of whole stretches: taking pairs out first costs more than their products
+                np.einsum("ij,ij->i", each[:-k], each[k:], out=alike[:-k])
+                alike[:-k][~same] = 0
             out[full, 2 * DIMS + k - 1] = np.add.reduceat(alike, starts) / n[:, 0]
     out[:, -1] = np.log1p(sizes)
     return out
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pooled(tokens: DataFrame, vectors: np.ndarray) -> DataFrame:
     """``id, pool`` (float32 bytes) of every row."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    shared = tokens.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        for batch in small_batches(batches, "text", 2 << 20):
-            found, doc = tokens.of(batch.column("text").to_pylist())
+        for batch in small_batches(batches, "rows", 1 << 19):
+            found, doc = _unpacked(batch)
             pools = pool(found, doc, batch.num_rows, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in pools], pa.binary())], ["id", "pool"])
 
-    return with_small_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, pool binary")
+    return with_small_batches(tokens).mapInArrow(run, f"id {dict(tokens.dtypes)['id']}, pool binary")
 
 
 @dataclass
@@ -213,8 +236,8 @@ def score_quality(
     like any other. Without usable labels all scores are 0.5. Null and repeated keys are kept as they are, and only
     ``text`` and ``key`` are read. An empty table gives no rows.
     """
-    vectors = token_vectors(docs, text)
-    pools = stored(pooled(docs, vectors, text, key), "pools")
+    tokens = stored(tokenised(docs, text, key), "tokens")
+    pools = stored(pooled(tokens, token_vectors(tokens)), "pools")
     model = fit_classifier(*training_rows(pools, labels, key, label, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

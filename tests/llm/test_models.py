@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from goldsieve.llm.language import LONGEST, Labeller, Network, identify_languages, pieces, train_language_model
-from goldsieve.llm.quality_model import DIMS, ROWS, Tokens, count_contexts, fit_classifier, index_vectors, pool, score_quality, token_vectors
+from goldsieve.llm.quality_model import DIMS, ROWS, Tokens, count_contexts, fit_classifier, index_vectors, pool, score_quality, token_vectors, tokenised
 from tests.llm.conftest import EDGE
 
 
@@ -80,7 +80,7 @@ def test_context_counts():
 
 def test_vectors_do_not_depend_on_partitions(spark, middle):
     docs = documents(spark, middle).limit(200)
-    assert np.array_equal(token_vectors(docs.repartition(1)), token_vectors(docs.repartition(7)))
+    assert np.array_equal(token_vectors(tokenised(docs.repartition(1))), token_vectors(tokenised(docs.repartition(7))))
 
 
 def test_pools():
