@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise an iterative state in the reliable checkpoint folder."""
     ensure_checkpoint_dir(frame.sparkSession)
