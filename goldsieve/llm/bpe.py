@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import small_batches, spans, with_small_batches
+from goldsieve.llm.common import give_back, small_batches, spans, with_small_batches
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text a task encodes at a time.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -223,6 +223,7 @@ def _encoded(docs: DataFrame, path: str, text: str, names: list[str], decode: bo
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         vocab = vocabulary(path)
         waiting, stretch = [], Stretch(vocab)
         for batch in small_batches(batches, "_text"):
@@ -234,6 +235,8 @@ def _encoded(docs: DataFrame, path: str, text: str, names: list[str], decode: bo
                 waiting, stretch = [], Stretch(vocab)
         if waiting:
             yield from flush(waiting, stretch, vocab)
+        del waiting, stretch
+        give_back()
 
     return with_small_batches(rows).mapInArrow(run, _schema(rows, names, "ids binary, decoded string" if decode else "ids binary"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -68,6 +70,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8
             yield batch.slice(start, end - start)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker that Spark keeps for later tasks holds nothing of this one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def spans(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Flat positions of consecutive pieces, each given by its offset and length."""
     total = int(lengths.sum())

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.llm.common import held_out, small_batches, with_small_batches
+from goldsieve.llm.common import give_back, held_out, small_batches, with_small_batches
 
 #: Most training documents per language, and words (evenly spaced over the whole text) taken from each.
 DOCS, WORDS = 800, 100
@@ -254,6 +254,8 @@ def identify_languages(
             found = [pa.array([x for x, _ in labels], pa.string()), pa.array([s for _, s in labels], pa.float64())]
             kept = ["id", "held_out", *names]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *found], [*kept, "lang_pred", "score"])
+        del labeller
+        give_back()
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in ("id", "held_out", *names))
