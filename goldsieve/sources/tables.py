@@ -18,11 +18,15 @@ LAYOUT = {"normalized_logs": "ingest_batch", "eval_results": "run_id"}
 # Audit time columns filled at write time when the caller leaves them out.
 AUDIT = {"created_at", "updated_at", "noted_at"}
 
+# The table that lists the columns other tables gained.
+ADDED, ADDED_SCHEMA = "added_columns", "`table` string, `column` string, kind string"
+
 
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._added: dict[str, dict[str, str]] | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -34,9 +38,30 @@ class Tables:
 
     def _schema(self, name: str):
         schema = schema_of(name)
+        for column, kind in self.added_columns(name).items():
+            schema = schema.add(column, kind)
         folder = LAYOUT.get(name)
         return schema.add(folder, "string") if folder and folder not in schema.names else schema
 
+    def added_columns(self, name: str) -> dict[str, str]:
+        """Columns that a table has gained since it was declared, and their types."""
+        if self._added is None:
+            self._added = {}
+            if self.exists(ADDED):  # a row a column
+                for r in sorted(self.spark.read.schema(ADDED_SCHEMA).parquet(self.path(ADDED)).collect()):
+                    self._added.setdefault(r.table, {}).setdefault(r.column, r.kind)
+        return self._added.get(name, {})
+
+    def add_column(self, name: str, column: str, kind: str) -> None:
+        """Gives a stored table a nullable column; a table that has it stays as it is. No file is written anew: rows
+        stored before are read as NULL, rows appended from now on may have it."""
+        self._added = None  # another writer may have added some
+        if column in self._schema(name).names:
+            return
+        row = self.spark.createDataFrame([(name, column, kind)], ADDED_SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(self.path(ADDED))
+        self._added = None
+
     def read(self, name: str) -> DataFrame:
         """The table as declared; empty before the first write, NULL for columns older files lack."""
         schema = self._schema(name)

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from goldsieve.operators import confidence, evaluate, ingest, judge, upkeep
 from goldsieve.plans import curation
 from goldsieve.sources.tables import Tables
@@ -106,3 +108,17 @@ def test_pending_texts_are_read_from_their_batches_only(spark, tables):
     read = tables.with_texts(spark.createDataFrame([("new", "new")], "id string, ingest_batch string"), "user_prompt")
     assert "ingest_batch=new" in "".join(read.inputFiles()) and "ingest_batch=old" not in read.select("id")._jdf.queryExecution().optimizedPlan().toString()
     assert rows(read) == [("new", "p")]
+
+
+def test_a_stored_table_gains_a_column(spark, tmp_path):
+    first, other = Tables(spark, str(tmp_path / "t")), Tables(spark, str(tmp_path / "t"))
+    notes = spark.createDataFrame([(1, "a")], "eval_id bigint, manual_notes string")
+    first.append("reviewer_notes", notes)
+    other.add_column("reviewer_notes", "reviewer", "string")
+    other.add_column("reviewer_notes", "reviewer", "string")
+    other.add_column("reviewer_notes", "manual_notes", "string")  # declared: nothing to do
+    other.append("reviewer_notes", notes.withColumn("eval_id", F.lit(2)).withColumn("reviewer", F.lit("x")))
+    again = Tables(spark, str(tmp_path / "t"))
+    again.append("reviewer_notes", notes.withColumn("eval_id", F.lit(3)))
+    assert {r.eval_id: r.reviewer for r in again.read("reviewer_notes").collect()} == {1: None, 2: "x", 3: None}
+    assert again.read("reviewer_notes").columns[-1] == "reviewer" and "reviewer" not in again.read("golden_answers").columns
