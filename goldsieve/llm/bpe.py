@@ -26,7 +26,7 @@ from goldsieve.llm.common import give_back, small_batches, spans, with_small_bat
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text a task encodes at a time.
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -223,8 +223,8 @@ def _encoded(docs: DataFrame, path: str, text: str, names: list[str], decode: bo
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         vocab = vocabulary(path)
+        give_back()  # what earlier tasks of this worker and the reading of the file have left
         waiting, stretch = [], Stretch(vocab)
         for batch in small_batches(batches, "_text"):
             for value in batch.column("_text").to_pylist():
