@@ -59,7 +59,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes sources to their target weights: a document appears as often as the mix takes it, up to three times. A null source is
-    one more source; texts without words weigh nothing and are not taken. Repeated rows count each. An empty table gives no rows."""
+    one more source; a text without words is taken once, or three times from a source taken in full. Repeated rows count each. An
+    empty table gives no rows."""
     mixed = mix_sources(_rows(docs, "doc_id", "text", "source"), carry=("row",))
     taken = mixed.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return taken.select("row.*")
