@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.operators.forest import LOCAL_LIMIT, spanning_forest
 from goldsieve.operators.hierarchy import BAND_ROWS, select_clusters
-from goldsieve.operators.similarity import chord, near_edges
+from goldsieve.operators.similarity import BLOCK_ROWS, chord, near_edges
 from goldsieve.fixed import NOISE
 from goldsieve.session import cut_lineage
 
@@ -21,7 +21,7 @@ def _distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(vectors.select("item_id", "fingerprint")), cut_lineage(groups)
 
 
-def components(vectors: DataFrame, cosine: float, block_rows: int = 1024, local_limit: int = LOCAL_LIMIT) -> DataFrame:
+def components(vectors: DataFrame, cosine: float, block_rows: int = BLOCK_ROWS, local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """``item_id, cluster_id``: linked by chains of pairs at least this similar; -1 when alone.
 
     A cluster is named by its smallest item id; equal vectors always belong together.
@@ -36,7 +36,7 @@ def components(vectors: DataFrame, cosine: float, block_rows: int = 1024, local_
 
 
 def density_clusters(
-    vectors: DataFrame, radius: float | None = None, block_rows: int = 1024, band_rows: int = BAND_ROWS,
+    vectors: DataFrame, radius: float | None = None, block_rows: int = BLOCK_ROWS, band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """``item_id, cluster_id`` by the density hierarchy with clusters of two or more; -1 is noise.
 
