@@ -13,12 +13,13 @@ TOKEN = r"([a-z0-9\xC0-\xFF]+)"
 def redact_pii(text: Column) -> Column:
     """Mask e-mail addresses, then phone numbers; NULL and '' stay as they are.
 
-    Texts without '@' skip the address pattern. Word boundaries and digits are read as Unicode.
+    Texts without '@' skip the address pattern. Word boundaries and digits are read as Unicode. A look ahead for a digit
+    changes no match, but spares the dearer test for a word boundary nearly everywhere.
     """
     without_mail = F.when(
         text.contains("@"), F.regexp_replace(text, EMAIL_PATTERN, EMAIL_MARK)
     ).otherwise(text)
-    return F.regexp_replace(without_mail, "(?U)" + PHONE_PATTERN, PHONE_MARK)
+    return F.regexp_replace(without_mail, "(?U)(?=\\d)" + PHONE_PATTERN, PHONE_MARK)
 
 
 def token_estimate(text: Column) -> Column:

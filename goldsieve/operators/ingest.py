@@ -9,9 +9,18 @@ from goldsieve.functions.text import redact_pii, token_estimate, unit_hash
 from goldsieve.fixed import NEGATIVE_FEEDBACK, SLOW_MS
 
 
+def without(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """Rows whose key is not the one column of ``known``: a left anti join, never NOT IN, so a row without a key stays.
+
+    Written as NOT EXISTS, which Spark takes below the expressions and joins that make wide columns, to the narrow rows the key is from.
+    """
+    same = F.col("_known") == F.col(f"_rows.{key}").outer()
+    return rows.alias("_rows").filter(~known.toDF("_known").filter(same).exists())
+
+
 def new_logs(raw: DataFrame, known_ids: DataFrame) -> DataFrame:
-    """Logs whose id has not been ingested. ``left_anti`` on a non-null id, never NOT IN."""
-    return raw.join(known_ids.select("id"), "id", "left_anti")
+    """Logs whose id has not been ingested; see ``without``."""
+    return without(raw, "id", known_ids.select("id"))
 
 
 def distinct_logs(logs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.fixed import NEGATIVE_FEEDBACK, NOISE
+from goldsieve.operators.ingest import without
 
 
 def to_cluster(normalized: DataFrame) -> DataFrame:
@@ -16,8 +17,8 @@ def to_cluster(normalized: DataFrame) -> DataFrame:
 def to_label(normalized: DataFrame, evals: DataFrame, *keep: str) -> DataFrame:
     """Novel or badly received logs without a label (``id`` and ``keep``, both texts by default); sampling plays no part here."""
     signal = (F.col("cluster_id") == NOISE) | F.col("user_feedback").isin(NEGATIVE_FEEDBACK)
-    labeled = evals.select(F.col("interaction_id").alias("id"))
-    return normalized.filter(signal).select("id", *(keep or ("user_prompt", "model_response"))).join(labeled, "id", "left_anti")
+    wanted = normalized.filter(signal).select("id", *(keep or ("user_prompt", "model_response")))
+    return without(wanted, "id", evals.select("interaction_id"))
 
 
 def with_interaction(evals: DataFrame, interactions: DataFrame, columns: list[str]) -> DataFrame:

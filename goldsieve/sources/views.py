@@ -152,6 +152,16 @@ SELECT run_id, 'model_a' AS model_name,
 FROM eval_results GROUP BY run_id""",
 }
 
+#: The same rows as Spark builds them, with less text moved: responses meet the narrow keys, then texts by the id that others join
+#: on. A key that occurs twice is asked for once and gives as many rows as before.
+SPARK_FORMS: dict[str, str] = {
+    "interactions": """
+SELECT d.id, d.user_prompt, a.model_response FROM (SELECT CAST(doc_id AS STRING) AS id, text AS user_prompt FROM documents) d
+JOIN (SELECT k.id, r.text AS model_response FROM
+      (SELECT DISTINCT CAST(doc_id AS STRING) AS id, (doc_id * 31 + 7) % (SELECT count(*) FROM documents) AS answered FROM documents) k
+      JOIN documents r ON r.doc_id = k.answered) a ON a.id = d.id""",
+}
+
 _WORD = re.compile(r"[a-z_]+")
 
 
@@ -199,7 +209,7 @@ class Inputs:
         parts, tables = [], {}
         for name in _needed(text, BASE_TABLES + list(VIEWS)):
             if name in VIEWS:
-                body = VIEWS[name].strip().replace("{", "{{").replace("}", "}}")
+                body = SPARK_FORMS.get(name, VIEWS[name]).strip().replace("{", "{{").replace("}", "}}")
             else:
                 tables[name] = self.table(name)
                 body = f"SELECT * FROM {{{name}}}"

@@ -85,3 +85,29 @@ def test_redaction_equals_a_direct_reading_of_the_patterns(spark):
     got = {r.i: r.v for r in df.select("i", redact_pii(F.col("t")).alias("v")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == re.sub(PHONE_PATTERN, PHONE_MARK, re.sub(EMAIL_PATTERN, EMAIL_MARK, t)), t
+
+
+def test_known_ids_are_taken_out_before_texts_come_in(spark):
+    """The anti join runs on the narrow side, below the join that brings the texts and what is made of them."""
+    rows = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (None, 10)], "n long, of long")
+    texts = spark.createDataFrame([(10, "a"), (11, "b")], "of long, text string")
+    wide = rows.join(texts, "of").select(F.col("n").cast("string").alias("id"), F.concat("text", F.lit("!")).alias("user_prompt"))
+    known = spark.createDataFrame([("1",), ("1",), (None,)], "id string")
+    left = ingest.new_logs(wide, known)
+    assert sorted((r.id or "", r.user_prompt) for r in left.collect()) == [("", "a!"), ("2", "a!"), ("2", "b!")]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Inner") < plan.index("LeftAnti")
+
+
+def test_interactions_of_repeated_and_missing_keys(spark, tmp_path):
+    """The form that Spark builds gives the rows of the shared SQL."""
+    from collections import Counter
+
+    from goldsieve.sources.views import VIEWS, Inputs
+
+    rows = [(0, "a"), (0, "b"), (7, "c"), (None, "d"), (2, None), (1, "e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    inputs = Inputs(spark, str(tmp_path))
+    want = spark.sql(VIEWS["interactions"].replace("documents", "{documents}"), documents=inputs.documents)
+    got = Counter(tuple(r) for r in inputs.interactions.collect())
+    assert got == Counter(tuple(r) for r in want.collect()) and sum(got.values()) > 4
