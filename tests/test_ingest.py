@@ -105,7 +105,7 @@ def test_interactions_of_repeated_and_missing_keys(spark, tmp_path):
 
     from goldsieve.sources.views import VIEWS, Inputs
 
-    rows = [(0, "a"), (0, "b"), (7, "c"), (None, "d"), (2, None), (1, "e")]
+    rows = [(0, "a"), (0, "b"), (7, "c"), (None, "d"), (2, None), (1, "e"), (5, "f")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     inputs = Inputs(spark, str(tmp_path))
     want = spark.sql(VIEWS["interactions"].replace("documents", "{documents}"), documents=inputs.documents)
