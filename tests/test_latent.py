@@ -1,10 +1,13 @@
 """Latent vectors against numpy's own decomposition."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from goldsieve.functions.vectors import with_token_vector
+from goldsieve.operators import latent
 from goldsieve.operators.latent import lsa_vectors
 
 
@@ -52,3 +55,26 @@ def test_defaults_keep_most_of_what_can_be_kept_and_ranks_may_run_out(spark, vec
     assert np.allclose(found[1], found[2]) and abs(found[1] @ found[3]) < 1e-9 and not found[4].any()
     assert np.linalg.norm(found[1]) == pytest.approx(1) and np.linalg.norm(found[3]) == pytest.approx(1)
     assert lsa_vectors(few.limit(0), "doc_id").count() == 0
+
+
+def test_texts_are_tokenised_once_a_row_and_not_for_every_weight(spark):
+    """A long text has thousands of weights; a length worked out inside their lambda took the square of that."""
+    text = " ".join(f"w{i}" for i in range(60_000))
+    long = with_token_vector(spark.createDataFrame([(1, text), (2, "w1 w2"), (3, None)], "doc_id bigint, text string"), "text")
+    plan = long.select("terms", "weights", "norm2")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    started = time.monotonic()
+    found = {r.doc_id: np.array(r.vector) for r in lsa_vectors(long, "doc_id", rank=2).collect()}
+    assert time.monotonic() - started < 120
+    assert np.linalg.norm(found[1]) == pytest.approx(1) and np.linalg.norm(found[2]) == pytest.approx(1) and not found[3].any()
+
+
+def test_blocks_do_not_matter_and_rows_of_a_key_are_summed(spark, monkeypatch):
+    rows = [(i, f"a{i % 5} b{i % 7} c{i % 3} c{i % 3}") for i in range(60)] + [(3, "d e"), (4, "a4 b4 c1 c1"), (None, "a1 b1"), (61, None), (62, "")]
+    vectors = with_token_vector(spark.createDataFrame(rows, "doc_id bigint, text string"), "text")
+    want = sorted(map(str, (((r.doc_id, np.round(np.abs(r.vector), 6).tolist()) for r in lsa_vectors(vectors, "doc_id", rank=3).collect()))))
+    monkeypatch.setattr(latent, "BLOCK_ENTRIES", 20)
+    got = lsa_vectors(vectors, "doc_id", rank=3).collect()
+    assert sorted(map(str, ((r.doc_id, np.round(np.abs(r.vector), 6).tolist()) for r in got))) == want and len(got) == len(rows)
+    assert all(not any(r.vector) for r in got if r.doc_id in (None, 61, 62)) and all(any(r.vector) for r in got if r.doc_id in (0, 3, 59))
+    assert np.allclose([r.vector for r in got if r.doc_id == 4][0], [r.vector for r in got if r.doc_id == 4][1])
