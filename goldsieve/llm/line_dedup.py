@@ -23,8 +23,18 @@ FILTER_BITS = 1 << 26
 SPACES = "\t\x0b\x0c\r"
 
 
-def _plain(line: Column) -> Column:
-    return F.translate(line, SPACES, " " * len(SPACES))
+def _has_word(line: Column) -> Column:
+    """Whether a line holds more than white space; looks no further than its first word."""
+    return F.ltrim(line, F.lit(" " + SPACES)) != ""
+
+
+def _normal(line: Column) -> Column:
+    """The words of a line with one space between them. Most lines are so already and are only looked at."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for space in SPACES:
+        odd = odd | line.contains(space)
+    words = F.array_remove(F.split(F.translate(line, SPACES, " " * len(SPACES)), " "), "")
+    return F.when(odd, F.array_join(words, " ")).otherwise(line)
 
 
 def _without(words: Column, i: Column) -> Column:
@@ -32,29 +42,24 @@ def _without(words: Column, i: Column) -> Column:
     return F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
 
 
-def _halves(words: Column) -> Column:
-    """Hashes of both halves, as the line is (it may lose or change a word) and as one word longer than its partner."""
-    n = F.size(words)
+def _halves(normal: Column, n: Column) -> Column:
+    """Hashes of both halves of ``n`` words, as the line is (it may lose or change a word) and as one word longer than its partner."""
     keys = []
     for base in (n, n - 1):
-        half = F.floor(base / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), base, F.slice(words, F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit("last"), base, F.slice(words, n - (base - half) + 1, base - half)))
+        half = F.shiftright(base, 1)
+        keys.append(F.xxhash64(F.lit("first"), base, F.call_function("substring_index", normal, F.lit(" "), half)))
+        keys.append(F.xxhash64(F.lit("last"), base, F.call_function("substring_index", normal, F.lit(" "), half - base)))
     return F.array(*keys)
 
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``place`` (key, hash of the text, number of the line) and ``body`` of every line with a word."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.posexplode(F.split(text_of(F.col(text)), "\n")).alias("at", "body"))
-    return rows.filter(F.trim(_plain(F.col("body"))) != "").select(F.struct("id", "hash", "at").alias("place"), "body")
-
+    return rows.filter(_has_word(F.col("body"))).select(F.struct("id", "hash", "at").alias("place"), "body")
 
-def _words(body: Column) -> Column:
-    return F.array_remove(F.split(_plain(body), " "), "")
 
-
-def _filtered(rows: DataFrame, column: str, wanted: DataFrame, of: str) -> DataFrame:
-    """``rows`` without most of those whose ``column`` is in no row of ``wanted``; all that are remain."""
+def _marked(rows: DataFrame, column: str, wanted: DataFrame, of: str) -> DataFrame:
+    """``rows`` with ``_may``: true if ``column`` is in a row of ``wanted``, false for most of the others."""
 
     def bit(frame: DataFrame, name: str) -> DataFrame:
         spot = F.pmod(F.xxhash64(F.col(name)), F.lit(FILTER_BITS))
@@ -63,25 +68,29 @@ def _filtered(rows: DataFrame, column: str, wanted: DataFrame, of: str) -> DataF
         })
 
     cells = bit(wanted, of).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
-    return bit(rows, column).join(F.broadcast(cells), "_cell").filter("_bits & _bit <> 0").drop("_cell", "_bit", "_bits")
+    met = bit(rows, column).join(F.broadcast(cells), "_cell", "left")
+    return met.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_cell", "_bit", "_bits")
+
+
+def _filtered(rows: DataFrame, column: str, wanted: DataFrame, of: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is in no row of ``wanted``; all that are remain."""
+    return _marked(rows, column, wanted, of).filter("_may").drop("_may")
 
 
-def _with_partner(rows: DataFrame) -> DataFrame:
-    """``tag``: hashes of the lines that share half of their words with a different line."""
-    keys = rows.filter("halves is not null").select(F.xxhash64("line").alias("tag"), F.explode("halves").alias("half"))
-    ends = keys.groupBy("half").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
-    shared = stored(ends.filter("low <> high").select("half"), "halves")
-    return _filtered(keys, "half", shared, "half").join(shared, "half", "left_semi").select("tag").distinct()
+def _with_partner(firsts: DataFrame) -> DataFrame:
+    """``place, line`` of the lines that share half of their words with a different line."""
+    keys = firsts.filter("halves is not null").select("place", "line", F.explode(F.array_distinct("halves")).alias("half"))
+    shared = stored(keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"), "halves")
+    return _filtered(keys, "half", shared, "half").join(shared, "half", "left_semi").select("place", "line").distinct()
 
 
 def _earlier(partners: DataFrame) -> DataFrame:
     """``number, earlier``: candidates for the earliest line within one edit of each, by equal variants."""
     # Hashing one array after another is hashing their concatenation; numbers hash faster than words.
     words = F.col("hashes")
-    each = F.sequence(F.lit(0), F.size(words) - 1)
-    left, right = lambda i: F.slice(words, F.lit(1), i), lambda i: F.slice(words, i + 2, F.size(words))
-    variants = F.transform(each, lambda i: F.struct(i.alias("i"), F.xxhash64(left(i), right(i)).alias("key")))
-    parts = stored(partners.select("number", F.explode(variants).alias("v")).select("number", "v.key", "v.i"), "variants")
+    left, right = F.slice(words, F.lit(1), F.col("i")), F.slice(words, F.col("i") + 2, F.size(words))
+    each = partners.select("number", "hashes", F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("i"))
+    parts = stored(each.select("number", F.xxhash64(left, right).alias("key"), "i"), "variants")
     # one word replaced: both without the same word
     groups = parts.groupBy("key", "i").agg(F.min("number").alias("least"), F.count(F.lit(1)).alias("n"))
     groups = stored(groups.filter("n > 1").drop("n"), "variant-groups")
@@ -107,19 +116,20 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     A line goes when an earlier line (by key with nulls first, hash of the text, number of the line) has the same words,
     or lies within one edit of the words of the first such line and both have ``least_words`` words or more.
     """
-    fuzzy = F.size("words") >= least_words
-    digest = F.unhex(F.md5(F.array_join("words", " ").cast("binary")))
-    rows = stored(_lines(docs, text, key).select("place", _words(F.col("body")).alias("words")).select(
-        "place", digest.alias("line"), F.when(fuzzy, _halves(F.col("words"))).alias("halves")
+    n = F.octet_length("normal") - F.octet_length(F.replace(F.col("normal"), F.lit(" "), F.lit(""))) + 1
+    rows = _lines(docs, text, key).select("place", _normal(F.col("body")).alias("normal")).withColumn("n", n)
+    rows = stored(rows.select(
+        "place", F.unhex(F.md5(F.col("normal").cast("binary"))).alias("line"),
+        F.when(F.col("n") >= least_words, _halves(F.col("normal"), F.col("n"))).alias("halves"),
     ), "lines")
-    firsts = stored(rows.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")), "first-lines")
+    # equal lines have equal halves
+    firsts = rows.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
+    firsts = stored(firsts, "first-lines")
 
-    tags = stored(_with_partner(rows), "tags")
-    tagged = _filtered(firsts.select("place", "line", F.xxhash64("line").alias("tag")), "tag", tags, "tag")
-    wanted = stored(tagged.join(tags, "tag", "left_semi").select("place", "line"), "partners")
+    wanted = stored(_with_partner(firsts), "partners")
     texts = _filtered(_lines(docs, text, key), "place", wanted, "place").join(wanted, "place").dropDuplicates(["place"])
     # After a sort the ids rise with the place, so they stand for it in the variants.
-    named = texts.orderBy("place").select(F.monotonically_increasing_id().alias("number"), "line", _words(F.col("body")).alias("words"))
+    named = texts.orderBy("place").select(F.monotonically_increasing_id().alias("number"), "line", F.split(_normal(F.col("body")), " ").alias("words"))
     partners = stored(named.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "words")
     pairs = _earlier(partners)
     close = (
@@ -142,13 +152,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least_
     Columns of ``docs`` named ``n_lines`` or ``n_dropped`` are replaced, others are kept. An empty table gives no
     rows. A document may be left without text; it is for the caller to drop it.
     """
-    drops = dropped_lines(docs, text, key, least_words)
+    lost = stored(dropped_lines(docs, text, key, least_words).select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "drops"), "drops")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     tagged = docs.select(F.struct(*names).alias("row"), F.col(key).alias("id"), F.col(text).alias("body"), F.xxhash64(text).alias("hash"))
-    lost = drops.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "drops")
-    joined = tagged.join(lost, (F.col("hash") == F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of_id")), "left")
+    # Texts that lose nothing are not moved, but for the few that the filter lets through.
+    marked = _marked(tagged.withColumn("place", F.struct("id", "hash")), "place", lost.select(F.struct("of_id", "of_hash").alias("place")), "place")
+    met = marked.filter("_may").join(lost, (F.col("hash") == F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of_id")), "left")
+    joined = met.select("row", "body", "drops").union(marked.filter("not _may").select("row", "body", F.lit(None).cast("array<int>")))
     kept = F.array_join(F.filter(F.split("body", "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
-    has_word = F.size(F.filter(F.split(text_of(F.col("body")), "\n"), lambda x: F.trim(_plain(x)) != "")).cast("bigint")
+    has_word = F.size(F.filter(F.split(text_of(F.col("body")), "\n"), _has_word)).cast("bigint")
     left = F.when(F.col("drops").isNull(), F.col("body")).otherwise(kept)
     whole = F.struct(*(left.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names))
     return joined.select(

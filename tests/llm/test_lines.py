@@ -88,3 +88,21 @@ def test_one_edit(spark, a, b, want):
     one = spark.range(1).select(F.array(*map(F.lit, a.split())).alias("a"), F.array(*map(F.lit, b.split())).alias("b"))
     row = one.select(within_one_edit(F.col("a"), F.col("b")).alias("x"), within_one_edit(F.col("b"), F.col("a")).alias("y")).first()
     assert (row.x, row.y) == (want, want) == (near(a.split(), b.split()),) * 2
+
+
+def test_lines_are_read_without_translating_them_and_most_texts_stay_where_they_are(docs):
+    """Every character of every line went through translate, and every text through an exchange."""
+    rows = [(i, f"only here {i}\nand {i} here\t too ") for i in range(50)] + [(50, "a b\n\x0b \t\n a\tb"), (51, " \x0c\r\nx")]
+    plan = dedup_lines(docs(rows))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in text and "Union" in text
+    got = {r.doc_id: r for r in plan.collect()}
+    want, _ = brute(rows, 10)
+    assert {k: r.text for k, r in got.items()} == want and want[50] == "a b\n\x0b \t"
+    assert [got[k].n_lines for k in (0, 50, 51)] == [2, 2, 1] and [got[k].n_dropped for k in (0, 50, 51)] == [0, 1, 0]
+
+
+@pytest.mark.parametrize("line", ["a b", " a b", "a b ", "a  b", "a\tb", "\x0ba\x0c b\r", "ä é", "a"])
+def test_normal_lines(spark, line):
+    one = spark.createDataFrame([(line,)], "line string").select(line_dedup._normal(F.col("line")).alias("x"), line_dedup._has_word(F.col("line")).alias("y"))
+    assert one.first() == (" ".join(words(line)), True)
