@@ -66,7 +66,20 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bits of an estimated size from which a stored frame no longer hands it on.
+SIZE_BITS = 62
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialise an iterative state in the reliable checkpoint folder."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Materialise an iterative state in the reliable checkpoint folder.
+
+    A checkpoint keeps the size that the planner had estimated, and a join estimates the product of its sides. In a loop that joins a
+    state with itself the digits of the estimate double each round, until they alone fill the driver; beyond ``SIZE_BITS`` it is unknown.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    stored = frame.checkpoint(eager=True)
+    plan = stored._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes().bit_length() <= SIZE_BITS:
+        return stored
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), stored._jdf.schema(), False), spark)
