@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.operators.sign_projection import planes
-from goldsieve.session import cut_lineage
+from goldsieve.session import cut_lineage, release
 
 #: Length of a vector, directions beyond it that are carried along, and rounds of sharpening.
 RANK, MORE, ROUNDS = 16, 8, 2
@@ -77,8 +77,8 @@ def _turn(gram: np.ndarray) -> np.ndarray:
 
 
 def _orthonormal(tall: DataFrame, column: str, width: int) -> DataFrame:
-    """The same span with columns at right angles and of length one."""
-    return cut_lineage(_times(tall, column, _turn(_gram(tall, column, width))))
+    """The same span with columns at right angles and of length one. Not stored: it is made from stored rows by a small matrix."""
+    return _times(tall, column, _turn(_gram(tall, column, width)))
 
 
 def _products(rows: pa.Table, known: np.ndarray, place: np.ndarray, by_term: np.ndarray, first: bool) -> pa.Table:
@@ -164,7 +164,8 @@ def lsa_vectors(vectors: DataFrame, key: str, rank: int = RANK, more: int = MORE
     found = _round(blocked, None, width)
     for _ in range(rounds):
         by_term = _times(found.filter(F.col("kind") == _TERM).select("id", "z", "blocks"), "z", _turn(_gram_of(found, width)))
-        found = _round(blocked, _orthonormal(by_term, "z", width), width)
+        older, found = found, _round(blocked, _orthonormal(by_term, "z", width), width)
+        release(older)
     straight = _turn(_gram_of(found, width))
     values, turned = np.linalg.eigh(_gram(_times(found.filter(F.col("kind") == _TERM).select("id", "z"), "z", straight), "z", width))
     order = np.argsort(-values, kind="stable")[:rank]

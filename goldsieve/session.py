@@ -68,6 +68,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 #: Bits of an estimated size from which a stored frame no longer hands it on.
 SIZE_BITS = 62
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
@@ -75,11 +76,26 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
 
     A checkpoint keeps the size that the planner had estimated, and a join estimates the product of its sides. In a loop that joins a
     state with itself the digits of the estimate double each round, until they alone fill the driver; beyond ``SIZE_BITS`` it is unknown.
+    Shuffle files that led to the checkpoint are removed as soon as it is stored.
     """
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
-    stored = frame.checkpoint(eager=True)
+    kept = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        stored = frame.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
+    finally:
+        spark.conf.set(_CLEANUP, kept)
     plan = stored._jdf.queryExecution().analyzed()
     if plan.stats().sizeInBytes().bit_length() <= SIZE_BITS:
         return stored
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), stored._jdf.schema(), False), spark)
+
+
+def release(stored: DataFrame) -> None:
+    """Delete a state that :func:`cut_lineage` returned, once a later one is stored and nothing reads it any more."""
+    spark = stored.sparkSession
+    file = stored._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
